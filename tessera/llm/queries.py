@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, quality, shards, toxicity, warc
+from . import bpe, decontaminate, extract, idfiles, minhash, quality, shards, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashParams(words=2))
 
 
+def op8_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = idfiles.write_files(table(spark, sf_dir, "documents"), tokenizer_path(), idfiles.IdFileParams(end_id=2))
+    return idfiles.read_files(files)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(table(spark, sf_dir, "pages"), warc.WarcParams(least=0))
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -43,6 +52,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op5_shards, op6_decontaminate, op7_minhash, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op4_extract, op5_shards, op6_decontaminate, op7_minhash, op8_idfiles, op9_warc, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
