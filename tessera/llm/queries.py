@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, extract, idfiles, minhash, quality, shards, toxicity, warc
+from . import bpe, decontaminate, extract, idfiles, minhash, quality, shards, topk, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk.top_k(docs, docs.where("doc_id % 50 = 0").selectExpr("doc_id as query_id", "text"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op4_extract, op5_shards, op6_decontaminate, op7_minhash, op8_idfiles, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_quality, op4_extract, op5_shards, op6_decontaminate, op7_minhash, op8_idfiles, op9_warc, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
