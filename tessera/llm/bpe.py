@@ -48,7 +48,7 @@ class _Numbers(dict):
 class PairIndexBPE:
     """Encoder and decoder for a tokenizer file; keeps the ids of at most max_words distinct words between batches."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -176,11 +176,13 @@ class PairIndexBPE:
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[start:start+length] of each span in turn."""
-    total = int(lengths.sum())
-    if not total:
-        return values[:0].copy()
     ends = np.cumsum(lengths)
-    return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=values.dtype)
+    for i in range(0, len(lengths), 100_000):  # the places of a part at a time, which are larger than the values
+        n, e = lengths[i : i + 100_000], ends[i : i + 100_000]
+        first = int(e[0] - n[0])
+        out[first : int(e[-1])] = values[np.arange(first, int(e[-1])) + np.repeat(starts[i : i + 100_000] - (e - n), n)]
+    return out
 
 
 def pieces(n: list[int], most: int):
@@ -205,7 +207,7 @@ def codec(path: str) -> PairIndexBPE:
     return _CODECS[path]
 
 
-def encode_documents(documents: DataFrame, tokenizer_path: str, with_ids: bool = False, chunk_chars: int = 24_000_000) -> DataFrame:
+def encode_documents(documents: DataFrame, tokenizer_path: str, with_ids: bool = False, chunk_chars: int = 12_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with with_ids) of each row of documents(doc_id, text, ...).
 
     Every row gives a row, repeated rows and rows with a null id too; a null text counts as empty (no ids, empty decoded text). Other
@@ -220,12 +222,15 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, with_ids: bool =
             for lo, hi in pieces([len(t or "") for t in texts], chunk_chars):
                 ids, at = bpe.encode(texts[lo:hi])
                 raw, cut = ids.astype("<u4").tobytes(), at.tolist()
-                text = bpe.decode(ids, at)
+                text: list = []  # of each document, or its hash where no one wants it
+                for a, b in pieces(np.diff(at).tolist(), 400_000):
+                    some = bpe.decode(ids[cut[a] : cut[b]], at[a : b + 1] - cut[a])
+                    text += some if with_ids else [hashlib.sha256(t).hexdigest() for t in some]
                 out = {
                     "doc_id": doc.slice(lo, hi - lo),
                     "n_tokens": pa.array(np.diff(at), pa.int64()),
                     "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)],
-                    "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in text],
+                    "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in text] if with_ids else text,
                 }
                 if with_ids:
                     out |= {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), "decoded": [t.decode() for t in text]}

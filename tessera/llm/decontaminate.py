@@ -124,7 +124,7 @@ def _consistent():
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """doc_id, item_id, n_windows (matching windows of the item), first_place (word number in the document), exact (some window has equal values in all slots).
+    """doc_id, item_id, n_windows (matching windows of the item), first_place (word number in the document), exact (all matching windows have equal values in all slots).
 
     documents(doc_id, text, ...) and benchmark(item_id, text, ...); other columns aren't read. Null and empty texts have no windows;
     rows with a null id give none. Repeated rows count once. Documents are read whole; a fixed-size membership filter of the
@@ -144,7 +144,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, params: Decontamina
     hits = docs.mapInArrow(_spots(p, shared, sizes), SPOT)
     other = spots.select(F.col("id").alias("item_id"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).dropDuplicates(["item_id", "key", "item_slots"])
     same = hits.join(other, "key").where((F.size("slots") == F.size("item_slots")) & _consistent())
-    return same.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("key").alias("n_windows"), F.min("place").alias("first_place"), F.max((F.col("slots") == F.col("item_slots")).cast("int")).cast("boolean").alias("exact"))
+    return same.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("key").alias("n_windows"), F.min("place").alias("first_place"), F.min((F.col("slots") == F.col("item_slots")).cast("int")).cast("boolean").alias("exact"))
 
 
 def _lengths(p: DecontaminationParams):

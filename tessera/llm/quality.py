@@ -61,10 +61,11 @@ class QualityModel:
         self.cut, self.slope, self.margin = 0.0, 1.0, None
 
     def fit(self, texts: list[str], y: np.ndarray) -> QualityModel:
-        """SGD on the softmax loss over all rows but every fifth, which place the cut. Without rows of both classes every score is the same."""
+        """SGD on the softmax loss over all rows but every fifth, which place the cut. With rows of one class only that class is predicted, without rows 1."""
         p = self.params
         self.margin = np.zeros(1 << p.bits, dtype=np.float32)
         if not len(y) or y.min() == y.max():
+            self.cut = np.inf if len(y) and y[0] == 0 else -np.inf
             return self
         held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), dtype=bool)
         rows = [np.unique(features(t, p.orders, p.bits), return_counts=True) for t in texts]

@@ -51,11 +51,12 @@ class ToxicityModel:
         self.params, self.weights, self.bias, self.cut, self.slope = params, np.zeros(1 << params.bits, dtype=np.float32), 0.0, 0.0, 1.0
 
     def fit(self, texts: list[str], y: np.ndarray) -> ToxicityModel:
-        """Trains on all rows but every fifth, which place the cut. Without rows of both classes every score is the same."""
+        """Trains on all rows but every fifth, which place the cut. With rows of one class only that class is predicted, without rows 0."""
         p = self.params
         if not len(y) or y.min() == y.max():
+            self.cut = -np.inf if len(y) and y[0] == 1 else np.inf
             return self
-        rows = [np.unique(ngrams(t, p.orders, p.bits)) for t in texts]
+        rows = [np.unique(ngrams(t, p.orders, p.bits)).astype(np.int32) for t in texts]
         held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), dtype=bool)
         train = np.flatnonzero(~held)
         if y[train].min() == y[train].max():

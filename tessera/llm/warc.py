@@ -55,7 +55,7 @@ def package(records: list[bytes], index: list[str]) -> bytes:
     """A ZIP whose members are stored: the gzipped records one after another, their index and a description."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, data in ((ARCHIVE, b"".join(records)), (INDEX, "".join(index).encode()), ("datapackage.json", json.dumps({"profile": "data-package", "records": len(records)}).encode())):
+        for name, data in ((ARCHIVE, b"".join(records)), (INDEX, "".join(index).encode("utf-8", "surrogatepass")), ("datapackage.json", json.dumps({"profile": "data-package", "records": len(records)}).encode())):
             with z.open(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), "w", force_zip64=len(data) >= zipfile.ZIP64_LIMIT) as f:
                 f.write(data)
     return out.getvalue()
@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, params: WarcParams = WarcParams()) -> DataF
             for page_id, url, html, sha, first in zip(*cols, strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 raw = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, first, first is not None), p.level, mtime=0)
-                index.append(f"{url} 20240101000000 {json.dumps({'offset': size, 'length': len(raw), 'page': page_id, 'bytes': len(html.encode('utf-8', 'surrogatepass'))})}\n")
+                index.append(f"{''.join(url.split()) or '-'} 20240101000000 {json.dumps({'offset': size, 'length': len(raw), 'page': page_id, 'bytes': len(html.encode('utf-8', 'surrogatepass'))})}\n")
                 records.append(raw)
                 size += len(raw)
                 if size >= p.archive_bytes:
@@ -186,11 +186,11 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
 
                     zipped = ZipDirectory(read, f.size())
                     start, _ = zipped.place(ARCHIVE)
-                    lines = read(*zipped.place(INDEX)).decode().splitlines()
+                    lines = read(*zipped.place(INDEX)).decode("utf-8", "surrogatepass").split("\n")[:-1]
                     for i in range(0, len(lines), 200):
                         out = []
                         for line in lines[i : i + 200]:
-                            entry = json.loads(line[line.index("{") :] if line[0] == "{" else line[line.index(" {") + 1 :])
+                            entry = json.loads(line.split(" ", 2)[2])
                             fields, block = parse_record(gzip.decompress(read(start + entry["offset"], entry["length"])))
                             head, _, payload = block.partition(CRLF + CRLF)
                             revisit = fields["warc-type"] == "revisit"
