@@ -8,10 +8,13 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tessera import corpus_queries as more
 from tessera import queries as core
+from tessera.functions import text as tx
 from tessera.operators import community as co
 from tessera.operators import graph as gr
 from tessera.operators import knn as kn
+from tessera.sources import files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -160,3 +163,56 @@ def test_entry(spark):
 
 def test_entry_has_rows_for_each_query(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sentences():
+    t = 'O Dr. Silva chegou. "Sim", disse J. Prado. Às 3 h saiu! e voltou… Fim'
+    assert [t[a:b] for a, b in tx.sentences(t)] == ["O Dr. Silva chegou.", '"Sim", disse J. Prado.', "Às 3 h saiu! e voltou…", "Fim"]
+    assert tx.sentences(None) == tx.sentences("  ") == []
+    spans = tx.sentences("  A b. C d.  ")
+    assert spans == [(2, 6), (7, 11)]
+
+
+def test_token_kinds():
+    t = "casas 12, fim"
+    kinds = tx.token_kinds(t, [(0, 3), (3, 5), (5, 6), (6, 8), (8, 9), (9, 13)])
+    assert [k[0] for k in kinds] == ["word_start", "continuation", "whitespace", "number", "punctuation", "whole_word"]
+    assert [k[1:] for k in kinds] == [(0, 0, 2), (0, 1, 2), (-1, -1, 0), (1, 0, 1), (-1, -1, 0), (2, 0, 1)]
+    assert tx.token_kinds("ab cd", [(0, 5)])[0][1] == 0  # the earlier word on a tie
+
+
+def test_cut_sections():
+    t = "top\n== A ==\nx\n== Notas ==\ny\n=== sub ===\nz\n== B ==\nw\n"
+    assert tx.cut_sections(t, ["notas"]) == "top\n== A ==\nx\n== B ==\nw\n"
+    assert tx.cut_sections(None, ["a"]) == ""
+
+
+def test_file_round_trips(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", 0.5), (2, "", None), (3, "ç", float("nan"))], "id int, t string, x double")
+    files.write_jsonl(df.where("id < 3"), f"{tmp_path}/j")
+    assert files.difference(files.read_jsonl(spark, f"{tmp_path}/j", "id int, t string, x double"), df.where("id < 3")).isEmpty()
+    files.write_csv(df, f"{tmp_path}/c", ["id", "t", "x", "more"])
+    back = files.read_csv(spark, f"{tmp_path}/c", "id int, t string, x double, more string", ["id", "t", "x"]).orderBy("id").collect()
+    assert [tuple(r) for r in back] == [(1, "a,b", 0.5), (2, "", None), (3, "ç", None)]
+    with pytest.raises(ValueError):
+        files.write_csv(df, f"{tmp_path}/d", ["id"])
+    v = spark.createDataFrame([(0, "x<\x01"), (1, None)], "id long, name string")
+    files.write_graphml(v, edges(spark, [(0, 1), (0, 1), (1, 1)]), f"{tmp_path}/g")
+    assert [tuple(r) for r in files.read_graphml_edges(spark, f"{tmp_path}/g").collect()] == [(0, 1)]
+    assert spark.read.text(f"{tmp_path}/g").where("value like '%x&lt;\ufffd<%'").count() == 1
+
+
+def test_bf16(spark):
+    assert more.bf16_error(spark, SF).where("error > 0.00390625 or error is null").isEmpty()
+
+
+def test_tables_of_tokens(spark):
+    got = {r.category: r.n for r in more.token_table(spark, SF).collect()}
+    import re
+
+    want: dict = {}
+    for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null").fetchall():
+        for k in tx.token_kinds(t, [m.span() for m in re.finditer(r" ?\w{1,4}|\s|[^\w\s]", t)]):
+            want[k[0]] = want.get(k[0], 0) + 1
+    assert got == want
+    assert more.sentence_table(spark, SF).where("end <= start").isEmpty()
