@@ -13,7 +13,7 @@ from .sources import files
 
 
 # ---- spans, sentences, tokens
-@query(f"WITH w AS (SELECT doc_id, unnest({DW}) w, generate_subscripts({DW}, 1) i, string_split_regex(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') gaps FROM documents), s AS (SELECT doc_id, i - 1 i, w, length(w) n, sum(length(gaps[i]) + length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) e FROM w) SELECT doc_id, count(*) words, sum(e)::BIGINT ends, sum(e - n)::BIGINT starts FROM s GROUP BY doc_id")
+@query(f"WITH w AS (SELECT doc_id, unnest({DW}) w, generate_subscripts({DW}, 1) i, unnest(string_split_regex(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) gap FROM documents), s AS (SELECT doc_id, i - 1 i, w, length(w) n, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) e FROM w WHERE w IS NOT NULL) SELECT doc_id, count(*) words, sum(e)::BIGINT ends, sum(e - n)::BIGINT starts FROM s GROUP BY doc_id")
 def word_spans(spark, sf):
     s = read(spark, sf, "documents").select("doc_id", tx.spans_of_words("text").alias("s")).where(F.size("s") > 0)
     add = lambda name: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[name])
@@ -36,7 +36,7 @@ def token_table(spark, sf):
     return d.select(F.explode(tx.token_categories("text", ends)).alias("t")).groupBy("t.category").agg(F.count("*").alias("n"), F.sum((F.col("t.place") + 1 < F.col("t.size")).cast("int")).alias("continued"))
 
 
-@query("WITH k AS (SELECT doc_id, string_split(text, ' ') ws FROM documents), o AS (SELECT doc_id, ws, generate_subscripts(ws, 1) i FROM k) SELECT doc_id, (i - 1)::INT i, array_to_string(list_concat(list_concat(ws[greatest(i - 8, 1):i - 1], ['«' || ws[i] || '»']), ws[i + 1:i + 8]), ' ') context FROM o WHERE lower(ws[i]) = 'the'")
+@query("WITH k AS (SELECT doc_id, string_split(text, ' ') ws FROM documents), o AS (SELECT doc_id, i FROM (SELECT doc_id, unnest(ws) w, generate_subscripts(ws, 1) i FROM k) WHERE lower(w) = 'the') SELECT doc_id, (i - 1)::INT i, array_to_string(list_concat(list_concat(ws[greatest(i - 8, 1):i - 1], ['«' || ws[i] || '»']), ws[i + 1:i + 8]), ' ') context FROM o JOIN k USING (doc_id)")
 def keyword_in_context(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("ws"))
     at = F.filter(F.transform("ws", lambda w, i: F.when(F.lower(w) == "the", i)), lambda i: i.isNotNull())

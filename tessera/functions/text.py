@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Residue of removed markup and what it becomes, in this order.
-TIDY = [(r"[ \t\r\n]+", " "), (r"\( *[ ,;:–—-]*\)", ""), (r"\[ *\]", ""), (r"\( *[,;:] *", "("), (r" *[,;:] *\)", ")"), (r" +([.,;:!?…)\]»”])", "$1"), (r"([,;:])( *[,;:])+", "$1"), (r" +", " ")]
+TIDY = [(r"[ \t\r\n]+", " "), (r"\([ ,;:–—-]*\)", ""), (r"\[ *\]", ""), (r"\( *[,;:] *", "("), (r" *[,;:] *\)", ")"), (r" +([.,;:!?…)\]»”])", "$1"), (r"([,;:])( *[,;:])+", "$1"), (r" +", " ")]
 # Abbreviations that don't end a sentence.
 ABBREVIATIONS = ["av", "sr", "sra", "dr", "dra", "prof", "etc", "ex", "fig", "vol", "cap", "ed", "pág", "séc", "mr", "mrs", "ms", "vs", "e.g", "i.e", "cf", "art", "inc", "ca", "st", "jr"]
 
