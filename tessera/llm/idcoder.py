@@ -2,9 +2,10 @@
 
 All blocks of a call are coded in step, one id of each at a time, as numpy lanes. In a block, order-2 and order-1 contexts (the last
 two ids, the last id) each predict the id that followed last time, with a confidence that grows when right. What is coded first is
-which prediction holds: its counts are the sum of those seen under the order-2 confidence, under the order-1 confidence and in the
-block (order 0), so evidence of all orders mixes. An id that no context predicts follows by the adaptive order-0 counts of its
-length in bits and its other bits. All state is integers, so coder and decoder agree everywhere.
+which prediction holds: its probabilities are those seen under both confidences together mixed with those of the whole block
+(order 0). An id that no context predicts follows by the adaptive order-0 counts of its length in bits and its other bits. Every
+lane runs the same operations, an id that was predicted codes its length with certainty, so no lane is picked out. All state is
+integers, so coder and decoder agree everywhere.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TIDS1\n"
-TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
+MAGIC = b"TIDS2\n"
 SLOTS_LOG = 11
 CLASSES = 24  # bit lengths 0..23
+FLAG_BITS, KIND_BITS = 12, 10
+U = np.uint64
+LEAST = U(1 << 48)
 
 
 def _sizes(n: int, block: int) -> np.ndarray:
@@ -26,206 +29,187 @@ def _sizes(n: int, block: int) -> np.ndarray:
 
 
 class _Model:
-    """State of all lanes; every array has the lane as its first axis."""
+    """State of all lanes: the ids that followed a context, probabilities of the predictions in 1/4096, counts of lengths in bits."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes) << SLOTS_LOG
+        self.lanes = lanes
+        self.slot = (np.arange(lanes) << SLOTS_LOG).astype(np.uint32)
         self.two = np.zeros(lanes << SLOTS_LOG, dtype=np.uint32)  # id << 2 | confidence
         self.one = np.zeros(lanes << SLOTS_LOG, dtype=np.uint32)
-        self.hit = np.zeros((lanes * 9, 3), dtype=np.int64)  # counts: by order-2 confidence, order-1 confidence, overall
-        self.row = np.arange(lanes) * 9
-        self.kind = np.ones((lanes, CLASSES), dtype=np.int64)
+        self.seen2, self.seen1 = np.full(lanes * 32, 512, dtype=np.int32), np.full(lanes * 32, 512, dtype=np.int32)
+        self.all2, self.all1 = np.full(lanes, 512, dtype=np.int32), np.full(lanes, 512, dtype=np.int32)
+        self.row = np.arange(lanes, dtype=np.uint32) << np.uint32(5)
+        self.counts = np.ones((lanes, CLASSES), dtype=np.int32)
+        self.flat, self.kind_row = self.counts.ravel(), np.arange(lanes) * CLASSES
         self.p1 = np.zeros(lanes, dtype=np.uint32)
         self.p2 = np.zeros(lanes, dtype=np.uint32)
 
-    def predict(self, lanes: np.ndarray):
-        p1, p2 = self.p1[lanes], self.p2[lanes]
-        shift = np.uint32(32 - SLOTS_LOG)
-        self.at2 = self.base[lanes] + ((p1 * np.uint32(0x9E3779B1) + p2 * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> shift)
-        self.at1 = self.base[lanes] + (p1 * np.uint32(0x9E3779B1) >> shift)
-        e2, e1 = self.two[self.at2], self.one[self.at1]
-        self.g2, self.g1 = e2 >> np.uint32(2), e1 >> np.uint32(2)
-        row = self.row[lanes]
-        self.r2, self.r1, self.r0 = row + (e2 & np.uint32(3)), row + 4 + (e1 & np.uint32(3)), row + 8
-        counts = self.hit[self.r2] * 2 + self.hit[self.r1] + self.hit[self.r0]
-        counts += 1
-        counts[self.g2 == self.g1, 1] = 0  # the same prediction twice
-        return counts
-
-    def update(self, lanes: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
-        for rows in (self.r2, self.r1, self.r0):
-            self.hit[rows, which] += 8
-            big = rows[self.hit[rows, which] > 4000]
-            if len(big):
-                self.hit[big] >>= 1
-        for table, at, guess in ((self.two, self.at2, self.g2), (self.one, self.at1, self.g1)):
-            entry = table[at]
-            sure = entry & np.uint32(3)
-            right = guess == ids
-            new = np.where(right, entry + (sure < 3), np.where(sure > 1, entry - np.uint32(2), ids << np.uint32(2)))
-            table[at] = new
-        self.p2[lanes] = self.p1[lanes]
-        self.p1[lanes] = ids
-
-    def update_kind(self, lanes: np.ndarray, kinds: np.ndarray) -> None:
-        self.kind[lanes, kinds] += 12
-        big = lanes[self.kind[lanes, kinds] > 6000]
-        if len(big):
-            self.kind[big] = (self.kind[big] + 1) >> 1
-
-
-class _Range:
-    """Carryless range coder of all lanes: 64-bit low, 16-bit words out."""
-
-    def __init__(self, lanes: int, words: np.ndarray | None = None, starts: np.ndarray | None = None, capacity: int = 0):
-        self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, 2**64 - 1, dtype=np.uint64)
-        self.words, self.at = words, None if starts is None else starts.astype(np.int64)
-        if words is None:
-            self.out, self.used = np.zeros((lanes, capacity), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
-        else:
-            self.code = np.zeros(lanes, dtype=np.uint64)
-            for _ in range(4):
-                self._pull(np.arange(lanes))
-
-    def _pull(self, lanes: np.ndarray) -> None:
-        self.code[lanes] = self.code[lanes] << np.uint64(16) | self.words[self.at[lanes]]
-        self.at[lanes] += 1
-
-    def _push(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        if (self.used[lanes] >= self.out.shape[1]).any():
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out[lanes, self.used[lanes]] = (low >> np.uint64(48)).astype(np.uint16)
-        self.used[lanes] += 1
-
-    def slot(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Which of `total` equal parts the code lies in."""
-        part = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // part, total - np.uint64(1))
-
-    def narrow(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = self.range[lanes] // total
-        low, rng = self.low[lanes] + part * start, part * size
-        todo = np.arange(len(lanes))
-        while True:
-            lo, r = low[todo], rng[todo]
-            same = ((lo ^ (lo + r)) < TOP)
-            small = ~same & (r < BOT)
-            todo = todo[same | small]
-            if not len(todo):
-                break
-            if small.any():
-                r = np.where(small, (np.uint64(0) - lo) & (BOT - np.uint64(1)), r)
-            keep = same | small
-            lo, r = lo[keep], r[keep]
-            if self.words is None:
-                self._push(lanes[todo], lo)
-            else:
-                self._pull(lanes[todo])
-            low[todo], rng[todo] = lo << np.uint64(16), r << np.uint64(16)
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def finish(self) -> None:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self._push(lanes, self.low)
-            self.low <<= np.uint64(16)
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shares of the two predictions in 1/4096; what is left, 96 at least, says that neither holds."""
+        h1, shift = self.p1 * np.uint32(0x9E3779B1), np.uint32(32 - SLOTS_LOG)
+        self.at2 = ((h1 + self.p2 * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> shift) + self.slot
+        self.at1 = (h1 >> shift) + self.slot
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.c2, self.c1 = self.e2 & np.uint32(3), self.e1 & np.uint32(3)
+        self.g2, self.g1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
+        self.ctx = self.row + (self.c2 << np.uint32(2)) + self.c1 + ((self.g2 == self.g1).astype(np.uint32) << np.uint32(4))
+        self.s2, self.s1 = self.seen2.take(self.ctx), self.seen1.take(self.ctx)
+        return tuple((((s * 3 + a) * 31 >> 7) + 16).astype(U) for s, a in ((self.s2, self.all2), (self.s1, self.all1)))
+
+    def update(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray, kinds: np.ndarray, fresh: np.ndarray) -> None:
+        """first, second: whether the order-2 prediction holds, or else the order-1 one; fresh: neither."""
+        for hit, seen, now, every in ((first, self.seen2, self.s2, self.all2), (second, self.seen1, self.s1, self.all1)):
+            goal = hit.astype(np.int32) << 12
+            seen[self.ctx] = now + (goal - now >> 4)
+            every += goal - every >> 5
+        fallback = ids << np.uint32(2)
+        for table, at, entry, sure, guess in ((self.two, self.at2, self.e2, self.c2, self.g2), (self.one, self.at1, self.e1, self.c1, self.g1)):
+            table[at] = np.where(guess == ids, entry + (sure < 3), np.where(sure > 1, entry - np.uint32(2), fallback))
+        at = self.kind_row + kinds
+        self.flat[at] = self.flat.take(at) + fresh
+        self.p2, self.p1 = self.p1, ids
+
+    def lengths(self, step: int, inverse: bool) -> None:
+        """At steps 0, 1, 2, 4, 8 ... 128 and each 128th: the table of shares of lengths in 1/1024, where each begins and, to decode, which one a place lies in."""
+        if step & (step - 1) if step < 128 else step % 128:
+            return
+        total = self.counts.sum(axis=1)
+        big = total > 2000
+        self.counts[big] = (self.counts[big] + 1) >> 1
+        share = 1 + self.counts * ((1 << KIND_BITS) - CLASSES) // self.counts.sum(axis=1)[:, None]
+        share[np.arange(self.lanes), share.argmax(axis=1)] += (1 << KIND_BITS) - share.sum(axis=1)
+        self.begin, self.share = (np.cumsum(share, axis=1) - share).astype(U).ravel(), share.astype(U).ravel()
+        if inverse:
+            self.place = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), self.lanes), share.ravel())
+            self.place_row = np.arange(self.lanes) << KIND_BITS
+
+
+def _groups(sizes: np.ndarray, lanes: int):
+    for first in range(0, len(sizes), lanes):
+        yield first, sizes[first : first + lanes]
 
 
 def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 1024) -> list[tuple[int, int, bytes]]:
-    """(number of ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
+    """(number of ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block. A block shorter than its group's others is filled with zeros.
+
+    The coder keeps a 64-bit low end and a range of at least 2**48; 16-bit words go out, and a carry is added to the last one. Words
+    above 16 bits are settled at the end.
+    """
     ids = np.asarray(ids, dtype=np.uint32)
     if len(ids) and int(ids.max()) >= 1 << (CLASSES - 1):
         raise ValueError("ids need fewer bits")
-    sizes, out = _sizes(len(ids), block), []
+    out = []
     with np.errstate(over="ignore"):
-        for first in range(0, len(sizes), lanes_at_once):
-            own = sizes[first : first + lanes_at_once]
-            n, start = len(own), np.arange(first, first + len(own)) * block
-            model, coder = _Model(n), _Range(n, capacity=block + 16)
-            for step in range(int(own.max())):
-                lanes = np.flatnonzero(own > step) if step >= own.min() else np.arange(n)
-                x = ids[start[lanes] + step]
-                counts = model.predict(lanes)
-                which = np.where(x == model.g2, 0, np.where(x == model.g1, 1, 2))
-                ends = np.cumsum(counts, axis=1)
-                row = np.arange(len(lanes))
-                size = counts[row, which]
-                coder.narrow(lanes, (ends[row, which] - size).astype(np.uint64), size.astype(np.uint64), ends[:, 2].astype(np.uint64))
-                model.update(lanes, x, which)
-                new = np.flatnonzero(which == 2)
-                if len(new):
-                    own_lanes, y = lanes[new], x[new]
-                    kinds = _bits(y)
-                    table = model.kind[own_lanes]
-                    ends = np.cumsum(table, axis=1)
-                    row = np.arange(len(new))
-                    size = table[row, kinds]
-                    coder.narrow(own_lanes, (ends[row, kinds] - size).astype(np.uint64), size.astype(np.uint64), ends[:, -1].astype(np.uint64))
-                    model.update_kind(own_lanes, kinds)
-                    wide = np.flatnonzero(kinds > 1)
-                    if len(wide):
-                        span = np.uint64(1) << (kinds[wide] - 1).astype(np.uint64)
-                        coder.narrow(own_lanes[wide], y[wide] - span, np.ones(len(wide), dtype=np.uint64), span)
-            coder.finish()
+        for first, own in _groups(_sizes(len(ids), block), lanes_at_once):
+            n, steps = len(own), int(own.max())
+            padded = np.zeros(n * steps, dtype=np.uint32)
+            padded[: int(own.sum())] = ids[first * block : first * block + int(own.sum())]
+            columns = np.ascontiguousarray(padded.reshape(n, steps).T)
+            bits = np.frexp(columns.astype(np.float64))[1].astype(np.int64)
+            model, lane = _Model(n), np.arange(n)
+            low, rng, used = np.zeros(n, dtype=U), np.full(n, 2**64 - 1, dtype=U), np.zeros(n, dtype=np.int64)
+            words, room = np.zeros(n * (steps + 64), dtype=np.uint32), steps + 64
+            for step in range(steps):
+                if step % 16 == 0 and int(used.max()) + 56 > room:
+                    words, room = np.concatenate([words, np.zeros(n * room, dtype=np.uint32)]), 2 * room
+                model.lengths(step, False)
+                x, kinds = columns[step], bits[step]
+                f2, f1 = model.predict()
+                one = x == model.g2
+                other = (x == model.g1) & ~one
+                fresh = ~(one | other)
+                part = rng >> U(FLAG_BITS)
+                delta = part * np.where(one, U(0), np.where(other, f2, f2 + f1))
+                rng = part * np.where(one, f2, np.where(other, f1, U(1 << FLAG_BITS) - f2 - f1))
+                at = model.kind_row + kinds
+                part = rng >> U(KIND_BITS)
+                delta += part * (model.begin.take(at) * fresh)
+                rng = part * np.where(fresh, model.share.take(at), U(1 << KIND_BITS))
+                rest = (np.maximum(kinds - 1, 0) * fresh).astype(U)
+                rng >>= rest
+                delta += rng * (x & ((U(1) << rest) - U(1)))
+                low += delta
+                over = low < delta
+                if over.any():
+                    at = (used[over] - 1) * n + lane[over]
+                    words[at] += np.uint32(1)
+                while True:
+                    need = rng < LEAST
+                    if not need.any():
+                        break
+                    words[used * n + lane] = low >> U(48)
+                    used += need
+                    shift = need.astype(U) << U(4)
+                    low <<= shift
+                    rng <<= shift
+                model.update(x, one, other, kinds, fresh)
+            words = np.concatenate([words, np.zeros(8 * n, dtype=np.uint32)])
+            for _ in range(4):
+                words[used * n + lane] = low >> U(48)
+                low <<= U(16)
+                used += 1
+            words = words.reshape(-1, n)[: int(used.max())]
+            words[np.arange(len(words))[:, None] >= used] = 0
+            for j in range(len(words) - 1, 0, -1):
+                words[j - 1] += words[j] >> np.uint32(16)
+            coded = np.ascontiguousarray(words.T).astype("<u2")
             for i in range(n):
-                raw = ids[start[i] : start[i] + own[i]].astype("<u4").tobytes()
-                out.append((int(own[i]), zlib.crc32(raw), coder.out[i, : coder.used[i]].astype("<u2").tobytes()))
+                raw = padded[i * steps : i * steps + own[i]].astype("<u4").tobytes()
+                out.append((int(own[i]), zlib.crc32(raw), coded[i, : used[i]].tobytes()))
     return out
 
 
 def decode(blocks: list[tuple[int, int, bytes]], lanes_at_once: int = 1024) -> np.ndarray:
     """The ids of encode()'s blocks; a block whose checksum differs raises ValueError."""
     out = []
-    with np.errstate(over="ignore"):
-        for first in range(0, len(blocks), lanes_at_once):
-            part = blocks[first : first + lanes_at_once]
-            own = np.array([b[0] for b in part], dtype=np.int64)
-            lengths = np.array([len(b[2]) // 2 for b in part])
-            words = np.concatenate([np.frombuffer(b"".join(b[2] for b in part), dtype="<u2").astype(np.uint64), np.zeros(8, dtype=np.uint64)])
-            model, coder = _Model(len(part)), _Range(len(part), words, np.cumsum(lengths) - lengths)
-            got = np.zeros((len(part), int(own.max(initial=0))), dtype=np.uint32)
-            for step in range(got.shape[1]):
-                lanes = np.flatnonzero(own > step) if step >= own.min() else np.arange(len(part))
-                counts = model.predict(lanes)
-                ends = np.cumsum(counts, axis=1)
-                total = ends[:, 2].astype(np.uint64)
-                slot = coder.slot(lanes, total).astype(np.int64)
-                which = (slot >= ends[:, 0]).astype(np.int64) + (slot >= ends[:, 1])
-                row = np.arange(len(lanes))
-                size = counts[row, which]
-                coder.narrow(lanes, (ends[row, which] - size).astype(np.uint64), size.astype(np.uint64), total)
-                x = np.where(which == 0, model.g2, model.g1)
-                new = np.flatnonzero(which == 2)
-                if len(new):
-                    own_lanes = lanes[new]
-                    table = model.kind[own_lanes]
-                    ends = np.cumsum(table, axis=1)
-                    total = ends[:, -1].astype(np.uint64)
-                    slot = coder.slot(own_lanes, total).astype(np.int64)
-                    kinds = (slot[:, None] >= ends).sum(axis=1)
-                    row = np.arange(len(new))
-                    size = table[row, kinds]
-                    coder.narrow(own_lanes, (ends[row, kinds] - size).astype(np.uint64), size.astype(np.uint64), total)
-                    model.update_kind(own_lanes, kinds)
-                    y = np.where(kinds > 0, 1, 0).astype(np.uint32)
-                    wide = np.flatnonzero(kinds > 1)
-                    if len(wide):
-                        span = np.uint64(1) << (kinds[wide] - 1).astype(np.uint64)
-                        low = coder.slot(own_lanes[wide], span)
-                        coder.narrow(own_lanes[wide], low, np.ones(len(wide), dtype=np.uint64), span)
-                        y[wide] = (span + low).astype(np.uint32)
-                    x[new] = y
-                model.update(lanes, x, which)
-                got[lanes, step] = x
-            for i, (n, crc, _) in enumerate(part):
-                if zlib.crc32(got[i, :n].astype("<u4").tobytes()) != crc:
+    with np.errstate(over="ignore", divide="ignore"):
+        for first, part_sizes in _groups(np.array([b[0] for b in blocks], dtype=np.int64), lanes_at_once):
+            blobs = [b[2] for b in blocks[first : first + lanes_at_once]]
+            lengths = np.array([len(b) // 2 for b in blobs])
+            words = np.concatenate([np.frombuffer(b"".join(b[: 2 * (len(b) // 2)] for b in blobs), dtype="<u2").astype(U), np.zeros(8, dtype=U)])
+            n, steps, last = len(blobs), int(part_sizes.max(initial=0)), len(words) - 1
+            at = np.cumsum(lengths) - lengths
+            code, rng, model = np.zeros(n, dtype=U), np.full(n, 2**64 - 1, dtype=U), _Model(n)
+            for _ in range(4):
+                code = code << U(16) | words.take(at, mode="clip")
+                at += 1
+            got = np.zeros((steps, n), dtype=np.uint32)
+            for step in range(steps):
+                model.lengths(step, True)
+                f2, f1 = model.predict()
+                both = f2 + f1
+                part = rng >> U(FLAG_BITS)
+                one, other = code < part * f2, code < part * both
+                fresh = ~other
+                other &= ~one
+                code -= part * np.where(one, U(0), np.where(other, f2, both))
+                rng = part * np.where(one, f2, np.where(other, f1, U(1 << FLAG_BITS) - both))
+                part = rng >> U(KIND_BITS)
+                place = np.minimum(code // part, U((1 << KIND_BITS) - 1)).astype(np.int64)
+                kinds = model.place.take(model.place_row + place).astype(np.int64)
+                own = model.kind_row + kinds
+                code -= part * (model.begin.take(own) * fresh)
+                rng = part * np.where(fresh, model.share.take(own), U(1 << KIND_BITS))
+                rest = (np.maximum(kinds - 1, 0) * fresh).astype(U)
+                rng >>= rest
+                low = np.minimum(code // rng, (U(1) << rest) - U(1))
+                code -= rng * low
+                x = np.where(one, model.g2, np.where(other, model.g1, ((kinds > 0).astype(U) << rest | low).astype(np.uint32)))
+                while True:
+                    need = rng < LEAST
+                    if not need.any() or int(at.min()) > last:
+                        break
+                    shift = need.astype(U) << U(4)
+                    code = code << shift | words.take(at, mode="clip") * need
+                    rng <<= shift
+                    at += need
+                model.update(x, one, other, kinds, fresh)
+                got[step] = x
+            rows = np.ascontiguousarray(got.T)
+            for i, (size, crc, _) in enumerate(blocks[first : first + lanes_at_once]):
+                if zlib.crc32(rows[i, :size].astype("<u4").tobytes()) != crc:
                     raise ValueError(f"checksum of block {first + i}")
-                out.append(got[i, :n])
+                out.append(rows[i, :size])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
