@@ -33,12 +33,12 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.slot = (np.arange(lanes) << SLOTS_LOG).astype(np.uint32)
+        self.slot = np.arange(lanes) << SLOTS_LOG
         self.two = np.zeros(lanes << SLOTS_LOG, dtype=np.uint32)  # id << 2 | confidence
         self.one = np.zeros(lanes << SLOTS_LOG, dtype=np.uint32)
         self.seen2, self.seen1 = np.full(lanes * 32, 512, dtype=np.int32), np.full(lanes * 32, 512, dtype=np.int32)
         self.all2, self.all1 = np.full(lanes, 512, dtype=np.int32), np.full(lanes, 512, dtype=np.int32)
-        self.row = np.arange(lanes, dtype=np.uint32) << np.uint32(5)
+        self.row = np.arange(lanes) << 5
         self.counts = np.ones((lanes, CLASSES), dtype=np.int32)
         self.flat, self.kind_row = self.counts.ravel(), np.arange(lanes) * CLASSES
         self.p1 = np.zeros(lanes, dtype=np.uint32)
@@ -47,12 +47,12 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The shares of the two predictions in 1/4096; what is left, 96 at least, says that neither holds."""
         h1, shift = self.p1 * np.uint32(0x9E3779B1), np.uint32(32 - SLOTS_LOG)
-        self.at2 = ((h1 + self.p2 * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> shift) + self.slot
-        self.at1 = (h1 >> shift) + self.slot
+        self.at2 = ((h1 + self.p2 * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> shift).astype(np.intp) + self.slot
+        self.at1 = (h1 >> shift).astype(np.intp) + self.slot
         self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
         self.c2, self.c1 = self.e2 & np.uint32(3), self.e1 & np.uint32(3)
         self.g2, self.g1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
-        self.ctx = self.row + (self.c2 << np.uint32(2)) + self.c1 + ((self.g2 == self.g1).astype(np.uint32) << np.uint32(4))
+        self.ctx = self.row + ((self.c2 << np.uint32(2)) + self.c1 + ((self.g2 == self.g1).astype(np.uint32) << np.uint32(4)))
         self.s2, self.s1 = self.seen2.take(self.ctx), self.seen1.take(self.ctx)
         return tuple((((s * 3 + a) * 31 >> 7) + 16).astype(U) for s, a in ((self.s2, self.all2), (self.s1, self.all1)))
 
@@ -89,7 +89,7 @@ def _groups(sizes: np.ndarray, lanes: int):
         yield first, sizes[first : first + lanes]
 
 
-def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 1024) -> list[tuple[int, int, bytes]]:
+def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 4096) -> list[tuple[int, int, bytes]]:
     """(number of ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block. A block shorter than its group's others is filled with zeros.
 
     The coder keeps a 64-bit low end and a range of at least 2**48; 16-bit words go out, and a carry is added to the last one. Words
@@ -159,7 +159,7 @@ def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 1024) -> lis
     return out
 
 
-def decode(blocks: list[tuple[int, int, bytes]], lanes_at_once: int = 1024) -> np.ndarray:
+def decode(blocks: list[tuple[int, int, bytes]], lanes_at_once: int = 4096) -> np.ndarray:
     """The ids of encode()'s blocks; a block whose checksum differs raises ValueError."""
     out = []
     with np.errstate(over="ignore", divide="ignore"):

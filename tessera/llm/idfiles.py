@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -23,45 +26,69 @@ class IdFileParams:
 
     end_id: int = 2
     block: int = 2048
-    file_ids: int = 2_000_000
-    partition_chars: int = 24_000_000
+    file_ids: int = 4_000_000
+    partition_chars: int = 20_000_000
     partitions: int = 0
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. It meets each distinct word once and the texts' ids are put together from those; texts with a special token go to it whole."""
+    """Ids by the tokenizers library. It meets each distinct word once and the texts' ids are put together from those; texts with a special token go to it whole.
+
+    Words of a space and letters go to it in runs: such words side by side are still the same words, no token crosses their bounds,
+    and the tokens' lengths in bytes tell where each word ends.
+    """
+
+    RUN = 500
+    _plain = re.compile(f" [{bpe.LETTER}]+").fullmatch
 
     def __init__(self, path: str, max_words: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for piece, i in vocab.items():
+            self.bytes[i] = len(piece)  # a character stands for a byte
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_words = max_words
         self._reset()
 
     def _reset(self) -> None:
         self.words = bpe._Numbers()
-        self.ids, self.at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def _fresh(self, words: list[str]) -> None:
+        """Adds the ids of new words, in their order."""
+        plain = [i for i, w in enumerate(words) if self._plain(w)]
+        rest = sorted(set(range(len(words))) - set(plain))
+        runs = ["".join(words[i] for i in plain[k : k + self.RUN]) for k in range(0, len(plain), self.RUN)]
+        joined = [x for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for x in e.ids]
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        ids = np.array(joined + [x for e in single for x in e], dtype=np.int32)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids[: len(joined)]]), np.cumsum([len(words[i].encode()) for i in plain], dtype=np.int64)) + 1
+        if len(plain) and ends[-1] != len(joined):
+            raise ValueError("the words' lengths don't fit their tokens")
+        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in single], dtype=np.int64)]).astype(np.int64)
+        starts, order = np.cumsum(lengths) - lengths, np.argsort(np.array(plain + rest, dtype=np.int64))
+        self.ids = np.concatenate([self.ids, bpe.gather(ids, starts[order], lengths[order])])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths[order])])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.words) > self.max_words:
             self._reset()
-        known, get, rows = len(self.words), self.words.__getitem__, []
-        for t in texts:
+        known, get, rows, whole = len(self.words), self.words.__getitem__, [], {}
+        for i, t in enumerate(texts):
             if t and any(s in t for s in self.special):
-                rows.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int64))
-            else:
-                rows.append(list(map(get, (bpe._FULL if bpe._WIDE.search(t) else bpe._NARROW).findall(t))) if t else [])
-                rows[-1] = np.array(rows[-1], dtype=np.int32)
-        fresh = list(self.words)[known:]
+                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int32)
+                t = None
+            rows.append(np.array(list(map(get, (bpe._FULL if bpe._WIDE.search(t) else bpe._NARROW).findall(t))) if t else [], dtype=np.int64))
+        fresh = list(itertools.islice(self.words, known, None))
         if fresh:
-            new = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in new])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), dtype=np.int64, count=int(lengths.sum()))])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-        return [r if r.dtype == np.int64 else bpe.gather(self.ids, self.at[r], self.at[r + 1] - self.at[r]) for r in rows]
+            self._fresh(fresh)
+        return [whole[i] if i in whole else bpe.gather(self.ids, self.at[r], self.at[r + 1] - self.at[r]) for i, r in enumerate(rows)]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
