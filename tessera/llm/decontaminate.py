@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, cut, mix
+from .common import cut, span_hashes
 
 # Units that count as one placeholder after a number.
 UNITS = (
@@ -20,13 +20,14 @@ UNITS = (
 ).split()
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?…:\n]")
-NUMBER, NAME, UNIT = np.uint64(11), np.uint64(13), np.uint64(17)
+NUMBER, NAME, UNIT, EXACT = np.uint64(11), np.uint64(13), np.uint64(17), np.uint64(0x5851F42D4C957F2D)
 WORD_KIND, END_KIND, NUMBER_KIND, NAME_KIND, UNIT_KIND = 0, 1, 2, 3, 4
 
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """window: canonical words in a window; a window needs `literal` words that are no placeholder. Items of fewer words are one window of their own if they have `literal` such words.
+    """window: canonical words in a window; items of fewer words are one window of their own. A window of `literal` or more words that are no
+    placeholder matches as a template, one of fewer only word for word.
 
     filter_bits is the log of the fixed size of the membership filter that documents' windows meet before the join.
     """
@@ -37,18 +38,32 @@ class DecontaminationParams:
 
 
 class _Tokens(dict):
-    """Of each token: (hash of its lower-case form, kind, whether it begins with a capital)."""
+    """Of each token its number; by number its hash of the lower-case form, kind and whether it begins with a capital."""
 
     units = frozenset(UNITS)
 
+    def __init__(self):
+        super().__init__()
+        self.table = [np.zeros(4096, dtype=t) for t in (np.uint64, np.int8, bool)]
+
     def __missing__(self, token):
         low = token.lower()
         h = int.from_bytes(__import__("hashlib").blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         kind = END_KIND if len(token) == 1 and token in ".!?…:\n" else NUMBER_KIND if token[0].isdigit() else UNIT_KIND if low in self.units else WORD_KIND
-        value = (h, kind, token[0].isupper() and not (len(token) > 1 and token.isupper()))
-        if len(self) < 400_000:
-            self[token] = value
-        return value
+        n = len(self)
+        if n == len(self.table[0]):
+            self.table = [np.concatenate([c, np.zeros_like(c)]) for c in self.table]
+        for column, value in zip(self.table, (h, kind, token[0].isupper() and not (len(token) > 1 and token.isupper())), strict=True):
+            column[n] = value
+        self[token] = n
+        return n
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, kinds, capitals) of the tokens of a text."""
+        if len(self) > 400_000:
+            self.clear()
+        at = np.array([self[t] for t in _TOKEN.findall(text)], dtype=np.int64)
+        return tuple(column[at] for column in self.table)
 
 
 def canonical(text: str | None, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,37 +72,29 @@ def canonical(text: str | None, known: _Tokens) -> tuple[np.ndarray, np.ndarray,
     A number becomes the number placeholder; a unit right after a number the unit placeholder; a capitalised word that doesn't begin a
     sentence or line the name placeholder; all else its lower-case form.
     """
-    found = [known[t] for t in _TOKEN.findall(text or "")]
-    if not found:
-        return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=bool),)
-    own = np.array([f[0] for f in found], dtype=np.uint64)
-    kind = np.array([f[1] for f in found], dtype=np.int8)
-    before = np.concatenate([[END_KIND], kind[:-1]])
-    name = (kind == WORD_KIND) & np.array([f[2] for f in found]) & (before != END_KIND)
+    own, kind, capital = known.of(text or "")
+    before = np.concatenate([[END_KIND], kind])[:-1]
+    name = (kind == WORD_KIND) & capital & (before != END_KIND)
     number, unit = kind == NUMBER_KIND, (kind == UNIT_KIND) & (before == NUMBER_KIND)
     form = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
     words = kind != END_KIND
     return form[words], own[words], (number | unit | name)[words]
 
 
-def windows(form: np.ndarray, slot: np.ndarray, p: DecontaminationParams) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash of each window, its place, words a window) of a canonical text; only windows with enough literal words."""
-    k = min(p.window, len(form))
-    if k < p.literal:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), k
-    n = len(form) - k + 1
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, dtype=np.uint64)
-        for i in range(k):
-            h = h * MULTIPLIER + form[i : i + n]
-        h = mix(h + np.uint64(k))
+def windows(form: np.ndarray, slot: np.ndarray, k: int, p: DecontaminationParams) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the windows of k words with enough literal words, places of the others)."""
     literal = np.concatenate([[0], np.cumsum(~slot)])
-    at = np.flatnonzero(literal[k:] - literal[:-k] >= p.literal)
-    return h[at], at, k
+    enough = literal[k:] - literal[:-k] >= p.literal
+    return np.flatnonzero(enough), np.flatnonzero(~enough)
 
 
 def _spots(p: DecontaminationParams, shared=None, sizes=None):
-    """Rows of all windows of each text, or of those in the filter; with the own hashes of each window's placeholders in turn."""
+    """Rows of all windows of each text, or of those in the filter; with the own hashes of each window's placeholders in turn.
+
+    A template window's key is the hash of its canonical words; a verbatim one's that of its own words, and it has no slots. An item's
+    window is one or the other. A document's is both where items have verbatim windows of that length, as its words can be placeholders
+    where the item's aren't.
+    """
 
     def run(batches):
         known, keep, lengths = _Tokens(), None if shared is None else shared.value, None if sizes is None else sizes.value
@@ -97,18 +104,23 @@ def _spots(p: DecontaminationParams, shared=None, sizes=None):
                 ids, keys, places, slots = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     form, own, slot = canonical(text, known)
-                    for k in [p.window] if lengths is None else lengths:
-                        if lengths is not None and len(form) < k:
+                    for k, template, verbatim in [(min(p.window, len(form)), True, True)] if lengths is None else lengths:
+                        if not 0 < k <= len(form):
                             continue
-                        h, at, k = windows(form, slot, p if k == p.window else DecontaminationParams(k, p.literal, p.filter_bits))
-                        if keep is not None:
-                            hit = keep[(h >> np.uint64(64 - p.filter_bits)).astype(np.int64)]
-                            h, at = h[hit], at[hit]
-                        for x, i in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
-                            ids.append(doc)
-                            keys.append(x)
-                            places.append(i)
-                            slots.append(own[i : i + k][slot[i : i + k]].view(np.int64).tolist())
+                        enough, few = windows(form, slot, k, p)
+                        kinds = [(span_hashes(form, enough, enough + k), enough, slot)] if template else []
+                        if verbatim:
+                            at = few if lengths is None else np.arange(len(form) - k + 1)
+                            kinds.append((span_hashes(own, at, at + k) ^ EXACT, at, None))
+                        for h, at, open_ in kinds:
+                            if keep is not None:
+                                hit = keep[(h >> np.uint64(64 - p.filter_bits)).astype(np.int64)]
+                                h, at = h[hit], at[hit]
+                            for x, i in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
+                                ids.append(doc)
+                                keys.append(x)
+                                places.append(i)
+                                slots.append([] if open_ is None else own[i : i + k][open_[i : i + k]].view(np.int64).tolist())
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int64()), "slots": pa.array(slots, pa.list_(pa.int64()))})
 
     return run
@@ -138,7 +150,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, params: Decontamina
     member = np.zeros(size, dtype=bool)
     for batch in places.toLocalIterator():  # at most as many as the filter has bits
         member[batch[0]] = True
-    lengths = sorted({r[0] for r in cut(items.mapInArrow(_lengths(p), "words int").distinct()).collect()} | {p.window})  # at most `window` numbers
+    lengths = sorted(tuple(r) for r in cut(items.mapInArrow(_lengths(p), "words int, template boolean, verbatim boolean").groupBy("words").agg(F.max("template"), F.max("verbatim"))).collect())  # at most `window` rows
     shared, sizes = spark.sparkContext.broadcast(member), spark.sparkContext.broadcast(lengths)
     docs = documents.selectExpr("cast(doc_id as long) as id", "cast(text as string) as text").where("id is not null and text is not null")
     hits = docs.mapInArrow(_spots(p, shared, sizes), SPOT)
@@ -148,11 +160,17 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, params: Decontamina
 
 
 def _lengths(p: DecontaminationParams):
+    """Words of each item's windows, and whether it has template and verbatim ones."""
+
     def run(batches):
         known = _Tokens()
         for batch in batches:
-            n = [len(canonical(t, known)[0]) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"words": pa.array([k for k in n if p.literal <= k < p.window], pa.int32())})
+            rows = []
+            for text in batch.column(1).to_pylist():
+                form, _, slot = canonical(text, known)
+                if k := min(p.window, len(form)):
+                    rows.append((k, *(len(x) > 0 for x in windows(form, slot, k, p))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.bool_()))], ["words", "template", "verbatim"])
 
     return run
 

@@ -270,6 +270,17 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_items_below_the_literal_gate(spark):
+    items = ["What is 7 + 5?", "Compute 12 + 34 * 5 - 6 / 2 + 8 - 9 + 10 + 11.", "Anna, Bob, Carl, Dora and Emil have 3, 4, 5, 6 and 7 coins each.", "7"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rng = random.Random(8)
+    filler = lambda: words(rng, 30)
+    texts = [f"{filler()} {x} {filler()}" for x in items[:3]] + [items[0].replace("7", "8"), items[1].replace("34", "35"), items[2].replace("Carl", "Kurt").replace("4", "9").replace("7", "8"), filler(), ""]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0): True, (0, 3): True, (1, 1): True, (2, 2): True, (2, 3): True}
+    assert {r.doc_id for r in decontaminate.decontaminated(docs(spark, texts), bench).collect()} == {3, 4, 5, 6, 7}
+
+
 def test_slots_must_agree(spark):
     w = "alpha beta gamma delta epsilon zeta eta"
     bench = spark.createDataFrame([(1, f"{w} 4 and 4 more things to say about it now")], "item_id long, text string")
