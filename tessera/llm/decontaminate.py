@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,47 +39,47 @@ class DecontaminationParams:
 
 
 class _Tokens(dict):
-    """Of each token its number; by number its hash of the lower-case form, kind and whether it begins with a capital."""
+    """Of each token its number; by number the hash of its lower-case form and its kind, NAME_KIND if it begins with a capital and is no unit."""
 
     units = frozenset(UNITS)
 
     def __init__(self):
         super().__init__()
-        self.table = [np.zeros(4096, dtype=t) for t in (np.uint64, np.int8, bool)]
+        self.hashes, self.kinds = bytearray(), bytearray()
 
     def __missing__(self, token):
         low = token.lower()
-        h = int.from_bytes(__import__("hashlib").blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        kind = END_KIND if len(token) == 1 and token in ".!?…:\n" else NUMBER_KIND if token[0].isdigit() else UNIT_KIND if low in self.units else WORD_KIND
-        n = len(self)
-        if n == len(self.table[0]):
-            self.table = [np.concatenate([c, np.zeros_like(c)]) for c in self.table]
-        for column, value in zip(self.table, (h, kind, token[0].isupper() and not (len(token) > 1 and token.isupper())), strict=True):
-            column[n] = value
-        self[token] = n
+        first = token[0]
+        self.hashes += blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        self.kinds.append(END_KIND if first in ".!?…:\n" else NUMBER_KIND if first.isdigit() else UNIT_KIND if low in self.units else NAME_KIND if first.isupper() and (len(token) == 1 or not token.isupper()) else WORD_KIND)
+        n = self[token] = len(self)
         return n
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, kinds, capitals) of the tokens of a text."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, kinds) of the tokens of a text."""
         if len(self) > 400_000:
             self.clear()
-        at = np.array([self[t] for t in _TOKEN.findall(text)], dtype=np.int64)
-        return tuple(column[at] for column in self.table)
+            self.hashes, self.kinds = bytearray(), bytearray()
+        found = _TOKEN.findall(text)
+        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.frombuffer(self.hashes, dtype="<u8")[at], np.frombuffer(self.kinds, dtype=np.int8)[at]
 
 
-def canonical(text: str | None, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical hashes, own hashes, whether it is a placeholder) of the words of a text.
+def canonical(text: str | None, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical hashes, own hashes, whether it is a placeholder, whether it may be a name as well) of the words of a text.
 
     A number becomes the number placeholder; a unit right after a number the unit placeholder; a capitalised word that doesn't begin a
-    sentence or line the name placeholder; all else its lower-case form.
+    sentence or line the name placeholder; all else its lower-case form. One that does begin a sentence or line may be either.
     """
-    own, kind, capital = known.of(text or "")
-    before = np.concatenate([[END_KIND], kind])[:-1]
-    name = (kind == WORD_KIND) & capital & (before != END_KIND)
-    number, unit = kind == NUMBER_KIND, (kind == UNIT_KIND) & (before == NUMBER_KIND)
-    form = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
-    words = kind != END_KIND
-    return form[words], own[words], (number | unit | name)[words]
+    own, kind = known.of(text or "")
+    before = np.concatenate([[END_KIND], kind]).astype(np.int8)[:-1]
+    words = np.flatnonzero(kind != END_KIND)
+    own, kind, before = own[words], kind[words], before[words]
+    capital, begins = kind == NAME_KIND, before == END_KIND
+    number, unit, name = kind == NUMBER_KIND, (kind == UNIT_KIND) & (before == NUMBER_KIND), capital & ~begins
+    form = own.copy()
+    form[number], form[unit], form[name] = NUMBER, UNIT, NAME
+    return form, own, number | unit | name, capital & begins
 
 
 def windows(form: np.ndarray, slot: np.ndarray, k: int, p: DecontaminationParams) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,8 @@ def windows(form: np.ndarray, slot: np.ndarray, k: int, p: DecontaminationParams
 def _spots(p: DecontaminationParams, shared=None, sizes=None):
     """Rows of all windows of each text, or of those in the filter; with the own hashes of each window's placeholders in turn.
 
-    A template window's key is the hash of its canonical words; a verbatim one's that of its own words, and it has no slots. An item's
+    A template window's key is the hash of its canonical words; one with words that may be names gives a second row in which they are.
+    A verbatim window's key is the hash of its own words, and it has no slots. `window` is the same for both rows of a window. An item's
     window is one or the other. A document's is both where items have verbatim windows of that length, as its words can be placeholders
     where the item's aren't.
     """
@@ -101,14 +103,19 @@ def _spots(p: DecontaminationParams, shared=None, sizes=None):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                ids, keys, places, slots = [], [], [], []
+                ids, keys, places, slots, same = [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    form, own, slot = canonical(text, known)
+                    form, own, slot, either = canonical(text, known)
+                    named, open_too, some = np.where(either, NAME, form), slot | either, np.concatenate([[0], np.cumsum(either)])
                     for k, template, verbatim in [(min(p.window, len(form)), True, True)] if lengths is None else lengths:
                         if not 0 < k <= len(form):
                             continue
                         enough, few = windows(form, slot, k, p)
-                        kinds = [(span_hashes(form, enough, enough + k), enough, slot)] if template else []
+                        kinds = []
+                        if template:
+                            both = windows(named, open_too, k, p)[0]
+                            both = both[some[both + k] > some[both]]
+                            kinds = [(span_hashes(form, enough, enough + k), enough, slot), (span_hashes(named, both, both + k), both, open_too)]
                         if verbatim:
                             at = few if lengths is None else np.arange(len(form) - k + 1)
                             kinds.append((span_hashes(own, at, at + k) ^ EXACT, at, None))
@@ -116,17 +123,19 @@ def _spots(p: DecontaminationParams, shared=None, sizes=None):
                             if keep is not None:
                                 hit = keep[(h >> np.uint64(64 - p.filter_bits)).astype(np.int64)]
                                 h, at = h[hit], at[hit]
-                            for x, i in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
+                            first = h if open_ is None else span_hashes(form, at, at + k)
+                            for x, y, i in zip(h.view(np.int64).tolist(), first.view(np.int64).tolist(), at.tolist(), strict=True):
                                 ids.append(doc)
                                 keys.append(x)
+                                same.append(y)
                                 places.append(i)
                                 slots.append([] if open_ is None else own[i : i + k][open_[i : i + k]].view(np.int64).tolist())
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int64()), "slots": pa.array(slots, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int64()), "slots": pa.array(slots, pa.list_(pa.int64())), "window": pa.array(same, pa.int64())})
 
     return run
 
 
-SPOT = "id long, key long, place long, slots array<long>"
+SPOT = "id long, key long, place long, slots array<long>, window long"
 
 
 def _consistent():
@@ -153,10 +162,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, params: Decontamina
     lengths = sorted(tuple(r) for r in cut(items.mapInArrow(_lengths(p), "words int, template boolean, verbatim boolean").groupBy("words").agg(F.max("template"), F.max("verbatim"))).collect())  # at most `window` rows
     shared, sizes = spark.sparkContext.broadcast(member), spark.sparkContext.broadcast(lengths)
     docs = documents.selectExpr("cast(doc_id as long) as id", "cast(text as string) as text").where("id is not null and text is not null")
-    hits = docs.mapInArrow(_spots(p, shared, sizes), SPOT)
-    other = spots.select(F.col("id").alias("item_id"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).dropDuplicates(["item_id", "key", "item_slots"])
+    hits = docs.mapInArrow(_spots(p, shared, sizes), SPOT).drop("window")
+    other = spots.groupBy(F.col("id").alias("item_id"), "key", F.col("slots").alias("item_slots")).agg(F.min("window").alias("window"))
     same = hits.join(other, "key").where((F.size("slots") == F.size("item_slots")) & _consistent())
-    return same.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("key").alias("n_windows"), F.min("place").alias("first_place"), F.min((F.col("slots") == F.col("item_slots")).cast("int")).cast("boolean").alias("exact"))
+    return same.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("window").alias("n_windows"), F.min("place").alias("first_place"), F.min((F.col("slots") == F.col("item_slots")).cast("int")).cast("boolean").alias("exact"))
 
 
 def _lengths(p: DecontaminationParams):
@@ -167,7 +176,7 @@ def _lengths(p: DecontaminationParams):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                form, _, slot = canonical(text, known)
+                form, _, slot, _ = canonical(text, known)
                 if k := min(p.window, len(form)):
                     rows.append((k, *(len(x) > 0 for x in windows(form, slot, k, p))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.bool_()))], ["words", "template", "verbatim"])

@@ -281,6 +281,21 @@ def test_items_below_the_literal_gate(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(docs(spark, texts), bench).collect()} == {3, 4, 5, 6, 7}
 
 
+def test_names_at_the_start_of_sentences(spark):
+    item = "Tom buys 3 red pens. Ann buys 5 blue pens. Joe buys 9 green pens."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def renamed(text, names):
+        for a, b in zip(["Tom", "Ann", "Joe", "3", "5", "9"], [*names, "4", "6", "8"], strict=True):
+            text = text.replace(a, b)
+        return text
+
+    other = renamed(item, ["Max", "Eva", "Kim"])
+    texts = [item, other, f"Say {other}", other.replace("Max", "then Max"), renamed(item, ["Max", "Max", "Max"]), other.replace("pens", "cups")]
+    got = {r.doc_id: (r.exact, r.n_windows) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {0: (True, 6), 1: (False, 6), 2: (False, 6), 3: (False, 6)}
+
+
 def test_slots_must_agree(spark):
     w = "alpha beta gamma delta epsilon zeta eta"
     bench = spark.createDataFrame([(1, f"{w} 4 and 4 more things to say about it now")], "item_id long, text string")
