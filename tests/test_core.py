@@ -115,6 +115,27 @@ def test_distances_two_ways(spark):
     assert a == b == {1: 5, 2: 5, 3: 5, 4: 1}
 
 
+def test_distance_queries_count_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    spark.createDataFrame([(i, i % 3, r.tolist()) for i, r in enumerate(rng.normal(size=(60, 4)))], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    arcs = [(r.src, r.dst) for r in core.nn(spark, str(tmp_path)).select("src", "dst").collect()]
+
+    def hist(pairs):
+        out, to = {}, {i: {b for a, b in pairs if a == i} for i in range(60)}
+        for root in range(60):
+            seen, front, d = {root}, {root}, 0
+            while front := set().union(*(to[i] for i in front)) - seen:
+                seen, d = seen | front, d + 1
+                out[d] = out.get(d, 0) + len(front)
+        return out
+
+    assert {r.d: r.pairs for r in core.distance_hist(spark, str(tmp_path)).collect()} == hist(arcs + [(b, a) for a, b in arcs])
+    want, got = hist(arcs), core.directed_efficiency(spark, str(tmp_path)).first()
+    assert (got.reached, got.diameter) == (sum(want.values()), max(want))
+    assert math.isclose(got.mean, sum(d * n for d, n in want.items()) / got.reached, abs_tol=1e-6)
+    assert math.isclose(got.efficiency, sum(n / d for d, n in want.items()) / (60 * 59), abs_tol=1e-8) and math.isclose(got.reachable_share, got.reached / (60 * 59), abs_tol=1e-8)
+
+
 def test_partitions(spark):
     p = spark.createDataFrame(list(enumerate([7, 3, 3, 9, 9, 9, 7, 5])), "id long, community long")
     assert [r.community for r in co.canonical(p).orderBy("id").collect()] == [1, 2, 2, 0, 0, 0, 1, 3]
