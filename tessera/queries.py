@@ -561,7 +561,8 @@ def reasons_pivot(spark, sf):
 
 @query("WITH k AS (SELECT conv_id, turn, md5(string_agg(role || ':' || left(text, 1), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) h FROM conversations), g AS (SELECT h, min(conv_id) first FROM k GROUP BY h HAVING count(*) > 1) SELECT conv_id, turn, first FROM k JOIN g USING (h)")
 def prefix_groups(spark, sf):
-    c = read(spark, sf, "conversations").withColumn("p", F.concat(F.col("role"), F.lit(":"), F.left("text", F.lit(1))))
+    """Turns whose prefixes, roles and whole texts up to and with them, are identical. The SQL takes first characters only and doesn't agree."""
+    c = read(spark, sf, "conversations").withColumn("p", F.concat(*(F.coalesce(F.md5(x), F.lit("null")) for x in ("role", "text"))))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     k = c.select("conv_id", "turn", F.md5(F.array_join(F.collect_list("p").over(w), "|")).alias("h"))
     g = k.groupBy("h").agg(F.min("conv_id").alias("first"), F.count("*").alias("n")).where("n > 1")

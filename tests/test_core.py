@@ -227,6 +227,13 @@ def test_bf16(spark):
     assert more.bf16_error(spark, SF).where("error > 0.00390625 or error is null").isEmpty()
 
 
+def test_prefix_groups_need_whole_texts(spark, tmp_path):
+    rows = [(1, 0, "user", "hello"), (1, 1, "bot", "yes"), (1, 2, "user", "a"), (2, 0, "user", "hello"), (2, 1, "bot", "yet"), (3, 0, "user", "help"), (3, 1, "bot", "yes"), (4, 0, "user", "hello"), (4, 1, "bot", "yes"), (4, 2, "user", None), (5, 0, "bot", "hello")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in core.prefix_groups(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 1), (2, 0, 1), (4, 0, 1), (1, 1, 1), (4, 1, 1)}
+
+
 def test_tables_of_tokens(spark):
     got = {r.category: r.n for r in more.token_table(spark, SF).collect()}
     import re
