@@ -36,6 +36,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def fingerprint(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row: edges, src_sum, dst_sum and the digest of the number of vertices and the set of edges(src, dst), in any order.
+
+    The digest is over two sums, each of 60 bits of the md5 of every edge, so no edge leaves its task.
+    """
+    h = F.md5(F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string")))
+    part = [F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+    sums = edges.agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), *(F.coalesce(F.sum(x), F.lit(0)).alias(f"h{i}") for i, x in enumerate(part)))
+    both = sums.crossJoin(vertices.agg(F.count("*").alias("n")))
+    return both.select("edges", "src_sum", "dst_sum", F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n", "edges", "h0", "h1")))).alias("digest"))
+
+
 def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, degree) of all vertices, zeros too."""
     d = both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))

@@ -259,7 +259,8 @@ def edge_jaccard(spark, sf):
 
 @query(f"WITH {NN()}, {E_U} SELECT count(*) edges, sum(src)::BIGINT src_sum, sum(dst)::BIGINT dst_sum FROM e")
 def graph_fingerprint(spark, sf):
-    return gr.union(nn(spark, sf)).agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"))
+    """Counts of the union graph and the digest of its edge set. The SQL has no digest."""
+    return gr.fingerprint(gr.union(nn(spark, sf)), verts(spark, sf))
 
 
 @query(f"WITH {NN()}, {E_U} SELECT src, dst FROM e WHERE src IN (SELECT vec_id FROM embeddings WHERE label < 5) AND dst IN (SELECT vec_id FROM embeddings WHERE label < 5)")

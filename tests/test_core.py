@@ -136,6 +136,15 @@ def test_distance_queries_count_all_pairs(spark, tmp_path):
     assert math.isclose(got.efficiency, sum(n / d for d, n in want.items()) / (60 * 59), abs_tol=1e-8) and math.isclose(got.reachable_share, got.reached / (60 * 59), abs_tol=1e-8)
 
 
+def test_fingerprints_tell_graphs_apart(spark):
+    def digest(pairs, n=6):
+        return gr.fingerprint(edges(spark, pairs), verts(spark, n)).first().digest
+
+    a = digest([(1, 4), (2, 3)])
+    assert a == digest([(2, 3), (1, 4)]) and len({a, digest([(1, 3), (2, 4)]), digest([(1, 4), (2, 3)], 7), digest([(1, 4)])}) == 4
+    assert "digest" in core.graph_fingerprint(spark, SF).columns
+
+
 def test_partitions(spark):
     p = spark.createDataFrame(list(enumerate([7, 3, 3, 9, 9, 9, 7, 5])), "id long, community long")
     assert [r.community for r in co.canonical(p).orderBy("id").collect()] == [1, 2, 2, 0, 0, 0, 1, 3]
