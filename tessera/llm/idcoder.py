@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-All blocks of a call are coded in step, one id of each at a time, as numpy lanes. In a block, order-2 and order-1 contexts (the last
-two ids, the last id) each predict the id that followed last time, with a confidence that grows when right. What is coded first is
-which prediction holds: its probabilities are those seen under both confidences together mixed with those of the whole block
-(order 0). An id that no context predicts follows by the adaptive order-0 counts of its length in bits and its other bits. Every
-lane runs the same operations, an id that was predicted codes its length with certainty, so no lane is picked out. All state is
-integers, so coder and decoder agree everywhere.
+All blocks of a call are coded in step, one id of each at a time, as numpy lanes. Each id is one of three cases, whose probabilities
+come first: the predicted id, an id already counted in the block (order 0), or a new one. The prediction is the id that followed the
+last two ids last time (order 2) or, where they are no known context, the last id alone (order 1). The probability that it holds mixes
+what was seen in the block under its order and confidence with what was seen in the block as a whole; the weight of the second is
+learned in each block, as the one of WEIGHTS whose forecasts were best so far. An order-0 id is coded by its count among the block's
+latest ids. A new id is coded by the share of blocks that hold it, a table that the file keeps once for all blocks. Counts and
+probabilities are taken anew at the steps of refreshed(). All state is integers, so coder and decoder agree everywhere.
 """
 
 from __future__ import annotations
@@ -15,12 +16,26 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TIDS2\n"
-SLOTS_LOG = 11
-CLASSES = 24  # bit lengths 0..23
-FLAG_BITS, KIND_BITS = 12, 10
-U = np.uint64
+MAGIC = b"TIDS4\n"
+SLOTS_LOG = 9
+FLAG_BITS, MOST_COUNTED = 12, 10
+U, I = np.uint64, np.int64
 LEAST = U(1 << 48)
+ONE = 1 << FLAG_BITS
+ENTRY = (1 << 26) - 1  # an id of 24 bits and a confidence of two
+PART = (1 << 20) - 1  # of a span: id << 40 | start << 20 | length
+CONTEXTS = 16
+WEIGHTS = (1, 4, 16, 64)
+
+
+def refreshed(step: int) -> bool:
+    """Whether counts and probabilities are taken anew before this step: at powers of two from 8 to 128, then each 128th up to 512 and each 256th."""
+    return step >= 8 and not (step & (step - 1) if step < 128 else step % (128 if step < 512 else 256))
+
+
+def counted_bits(step: int) -> int:
+    """The log of the number of latest ids that order 0 counts at a refresh."""
+    return min(step.bit_length() - 1, MOST_COUNTED)
 
 
 def _sizes(n: int, block: int) -> np.ndarray:
@@ -28,185 +43,350 @@ def _sizes(n: int, block: int) -> np.ndarray:
     return np.array([block] * full + [rest] * (rest > 0), dtype=np.int64)
 
 
+class Prior:
+    """Shares of new ids, in 1/2**bits, from the number of blocks that hold each: one at least for each id of the file."""
+
+    def __init__(self, ids: np.ndarray, blocks: np.ndarray):
+        self.bits = max(17, int(len(ids)).bit_length() + 1)
+        if self.bits > 20:
+            raise ValueError("too many different ids in a file")
+        size = 1 + blocks.astype(I) * ((1 << self.bits) - len(ids)) // max(1, int(blocks.sum()))
+        if len(ids):
+            size[size.argmax()] += (1 << self.bits) - size.sum()
+        self.ids, self.blocks = ids, blocks
+        self.packed = ids.astype(I) << 40 | np.cumsum(size) - size << 20 | size
+        self.places = np.repeat(self.packed, size)
+
+    def dumped(self) -> bytes:
+        steps = np.diff(self.ids.astype(np.uint32), prepend=np.uint32(0))
+        return struct.pack("<I", len(self.ids)) + zlib.compress(steps.astype("<u4").tobytes() + self.blocks.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def loaded(cls, raw: bytes) -> Prior:
+        n, = struct.unpack("<I", raw[:4])
+        both = np.frombuffer(zlib.decompress(raw[4:]), "<u4")
+        return cls(np.cumsum(both[:n], dtype=np.uint32), both[n:])
+
+
 class _Model:
-    """State of all lanes: the ids that followed a context, probabilities of the predictions in 1/4096, counts of lengths in bits."""
+    """State of all lanes: the ids that followed a context and the probabilities of the cases in 1/4096."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, steps: int):
         self.lanes = lanes
         self.slot = np.arange(lanes) << SLOTS_LOG
-        self.two = np.zeros(lanes << SLOTS_LOG, dtype=np.uint32)  # id << 2 | confidence
-        self.one = np.zeros(lanes << SLOTS_LOG, dtype=np.uint32)
-        self.seen2, self.seen1 = np.full(lanes * 32, 512, dtype=np.int32), np.full(lanes * 32, 512, dtype=np.int32)
-        self.all2, self.all1 = np.full(lanes, 512, dtype=np.int32), np.full(lanes, 512, dtype=np.int32)
-        self.row = np.arange(lanes) << 5
-        self.counts = np.ones((lanes, CLASSES), dtype=np.int32)
-        self.flat, self.kind_row = self.counts.ravel(), np.arange(lanes) * CLASSES
-        self.p1 = np.zeros(lanes, dtype=np.uint32)
-        self.p2 = np.zeros(lanes, dtype=np.uint32)
+        self.table = np.full(lanes << SLOTS_LOG, 256 << 52, dtype=I)  # tag of the id before << 52 | order-2 entry << 26 | order-1 entry
+        self.row = (np.arange(lanes) * CONTEXTS).astype(np.int32)
+        self.all = np.int32(lanes * CONTEXTS)
+        self.record = np.zeros((steps, lanes), dtype=np.int32)
+        self.hits, self.trials = np.zeros((lanes, CONTEXTS), dtype=I), np.zeros((lanes, CONTEXTS), dtype=I)
+        self.cost = np.zeros((len(WEIGHTS), lanes), dtype=I)
+        self.forecasts: list[np.ndarray] = []
+        self.known, self.missed, self.new = np.zeros(lanes, dtype=I), np.zeros(lanes, dtype=I), np.zeros(lanes, dtype=np.int32)
+        self.missed_last = np.zeros(lanes, dtype=np.int32)
+        self.last, self.tag, self.since = np.zeros(lanes, dtype=np.uint32), np.zeros(lanes, dtype=I), 0
+        self.refresh(0)
+
+    def refresh(self, step: int) -> None:
+        """The probabilities up to the next refresh, from the contexts and outcomes recorded since the last."""
+        seen = np.bincount(self.record[self.since : step].ravel(), minlength=2 * int(self.all)).reshape(2, self.lanes, CONTEXTS)
+        right, wrong = seen
+        for cost, p in zip(self.cost, self.forecasts, strict=False):
+            cost += (right * (ONE - p) ** 2 + wrong * p**2).sum(axis=1) >> FLAG_BITS
+        self.hits += right
+        self.trials += right + wrong
+        every = ((self.hits.sum(axis=1) + 1 << FLAG_BITS) // (self.trials.sum(axis=1) + 8))[:, None]
+        self.forecasts = [((self.hits << FLAG_BITS) + w * every) // (self.trials + w) for w in WEIGHTS]
+        p = np.choose(self.cost.argmin(axis=0)[:, None], self.forecasts)
+        misses = wrong.sum(axis=1)
+        self.known, self.missed = (self.known >> 1) + misses - self.new, (self.missed >> 1) + misses
+        known = ((self.known << FLAG_BITS) + 512) // (self.missed + 1)
+        a = (p * 127 >> 7) + 16
+        c = ((ONE - 2 - a) * ((np.minimum(known, ONE - 1) * 127 >> 7) + 16)[:, None] >> FLAG_BITS) + 1 + a
+        self.shares, self.since = (a << 16 | c).ravel(), step
+        self.new[:] = 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The shares of the two predictions in 1/4096; what is left, 96 at least, says that neither holds."""
-        h1, shift = self.p1 * np.uint32(0x9E3779B1), np.uint32(32 - SLOTS_LOG)
-        self.at2 = ((h1 + self.p2 * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> shift).astype(np.intp) + self.slot
-        self.at1 = (h1 >> shift).astype(np.intp) + self.slot
-        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.c2, self.c1 = self.e2 & np.uint32(3), self.e1 & np.uint32(3)
-        self.g2, self.g1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
-        self.ctx = self.row + ((self.c2 << np.uint32(2)) + self.c1 + ((self.g2 == self.g1).astype(np.uint32) << np.uint32(4)))
-        self.s2, self.s1 = self.seen2.take(self.ctx), self.seen1.take(self.ctx)
-        return tuple((((s * 3 + a) * 31 >> 7) + 16).astype(U) for s, a in ((self.s2, self.all2), (self.s1, self.all1)))
-
-    def update(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray, kinds: np.ndarray, fresh: np.ndarray) -> None:
-        """first, second: whether the order-2 prediction holds, or else the order-1 one; fresh: neither."""
-        for hit, seen, now, every in ((first, self.seen2, self.s2, self.all2), (second, self.seen1, self.s1, self.all1)):
-            goal = hit.astype(np.int32) << 12
-            seen[self.ctx] = now + (goal - now >> 4)
-            every += goal - every >> 5
-        fallback = ids << np.uint32(2)
-        for table, at, entry, sure, guess in ((self.two, self.at2, self.e2, self.c2, self.g2), (self.one, self.at1, self.e1, self.c1, self.g1)):
-            table[at] = np.where(guess == ids, entry + (sure < 3), np.where(sure > 1, entry - np.uint32(2), fallback))
-        at = self.kind_row + kinds
-        self.flat[at] = self.flat.take(at) + fresh
-        self.p2, self.p1 = self.p1, ids
-
-    def lengths(self, step: int, inverse: bool) -> None:
-        """At steps 0, 1, 2, 4, 8 ... 128 and each 128th: the table of shares of lengths in 1/1024, where each begins and, to decode, which one a place lies in."""
-        if step & (step - 1) if step < 128 else step % 128:
-            return
-        total = self.counts.sum(axis=1)
-        big = total > 2000
-        self.counts[big] = (self.counts[big] + 1) >> 1
-        share = 1 + self.counts * ((1 << KIND_BITS) - CLASSES) // self.counts.sum(axis=1)[:, None]
-        share[np.arange(self.lanes), share.argmax(axis=1)] += (1 << KIND_BITS) - share.sum(axis=1)
-        self.begin, self.share = (np.cumsum(share, axis=1) - share).astype(U).ravel(), share.astype(U).ravel()
-        if inverse:
-            self.place = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), self.lanes), share.ravel())
-            self.place_row = np.arange(self.lanes) << KIND_BITS
+        """Ends of the shares of the prediction and of the counted ids in 1/4096; what is left is that of a new id. Each share is 1 at least."""
+        h = self.last * np.uint32(0x9E3779B1)
+        self.at = (h >> np.uint32(32 - SLOTS_LOG)).astype(I)
+        self.at += self.slot
+        e = self.table.take(self.at)
+        self.e1 = e & ENTRY
+        self.e2 = e >> 26
+        self.e2 &= ENTRY
+        e >>= 52
+        two = e == self.tag
+        best = np.where(two, self.e2, self.e1)
+        ctx = (best & 3).astype(np.int32)
+        ctx += self.row
+        ctx += two.view(np.int8) << np.int8(2)
+        ctx += self.missed_last
+        self.ctx = ctx
+        best >>= 2
+        self.guess = best
+        h >>= np.uint32(8)
+        h &= np.uint32(255)
+        self.next_tag = h.astype(I)
+        c = self.shares.take(ctx)
+        a = c >> 16
+        c &= 0xFFFF
+        return a.view(U), c.view(U)
+
+    def update(self, step: int, ids: np.ndarray, missed: np.ndarray, new: np.ndarray) -> None:
+        """missed: whether the prediction failed, new: whether the id was coded as new."""
+        wrong = missed.astype(np.int32)
+        self.ctx += wrong * self.all
+        self.record[step] = self.ctx
+        wrong <<= 3
+        self.missed_last = wrong
+        self.new += new
+        fresh = ids << 2
+        fresh |= 1
+        entry = self.tag << 26
+        for e in (self.e2, self.e1):  # the same id with more confidence, up to 3, or the new one with 1
+            e -= fresh
+            e += 1
+            same = e.view(U) < U(4)
+            np.minimum(e, 2, out=e)
+            e *= same
+            e += fresh
+            entry |= e
+            if e is self.e2:
+                entry <<= 26
+        self.table[self.at] = entry
+        self.last, self.tag = ids.astype(np.uint32), self.next_tag
+
+
+class _Counted:
+    """For the coder: each id's span among the latest ids of its block counted at the last refresh, for the steps up to the next one."""
+
+    def __init__(self, rows: np.ndarray):
+        n, self.steps = rows.shape
+        keys = rows.astype(U)
+        keys <<= U(16)
+        keys |= np.arange(self.steps, dtype=U)
+        keys.sort(axis=1)
+        rank = np.zeros((n, self.steps), dtype=np.int32)
+        ids = (keys >> U(16)).astype(np.uint32)
+        np.cumsum(ids[:, 1:] != ids[:, :-1], axis=1, out=rank[:, 1:])
+        self.width = int(rank.max(initial=0)) + 1
+        keys &= U(0xFFFF)
+        rank += (np.arange(n, dtype=np.int32) * self.width)[:, None]
+        keys += (np.arange(n, dtype=U) * U(self.steps))[:, None]
+        self.at = np.empty(n * self.steps, dtype=np.int32)
+        self.at[keys.view(I).ravel()] = rank.ravel()
+        self.at, self.lanes = self.at.reshape(n, self.steps), n
+
+    def refresh(self, step: int) -> np.ndarray:
+        """By step and lane: start << 20 | length, 0 for ids not counted."""
+        to = next((s for s in range(step + 1, self.steps) if refreshed(s)), self.steps)
+        if not step:
+            return np.zeros((to, self.lanes), dtype=np.int32)
+        some = self.at[:, step - (1 << counted_bits(step)) : step]
+        c = np.bincount(some.ravel(), minlength=self.lanes * self.width).astype(np.int32).reshape(self.lanes, self.width)
+        spans = np.cumsum(c, axis=1, dtype=np.int32)
+        spans -= c
+        spans <<= 20
+        spans |= c
+        spans *= c > 0
+        return np.ascontiguousarray(spans.ravel().take(self.at[:, step:to]).T)
+
+
+def _ordered(ids: np.ndarray) -> np.ndarray:
+    """For the decoder: of each lane (row) and place among its ids in order, the span."""
+    n, step = ids.shape
+    ids = np.sort(ids, axis=1).ravel()
+    new = np.empty(n * step, dtype=bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
+    new[::step] = True
+    at = np.flatnonzero(new)
+    size = np.diff(at, append=n * step)
+    return np.repeat(ids[at].astype(I) << 40 | at % step << 20 | size, size)
 
 
 def _groups(sizes: np.ndarray, lanes: int):
+    """Groups of at most `lanes` blocks, of about equal numbers."""
+    lanes = -(-len(sizes) // max(1, -(-len(sizes) // lanes))) or 1
     for first in range(0, len(sizes), lanes):
         yield first, sizes[first : first + lanes]
 
 
-def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 4096) -> list[tuple[int, int, bytes]]:
-    """(number of ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block. A block shorter than its group's others is filled with zeros.
+def prior_of(ids: np.ndarray, block: int) -> Prior:
+    """The prior of the blocks of these ids."""
+    held = np.zeros(int(ids.max(initial=0)) + 1, dtype=I)
+    for i in range(0, len(ids), block << 10):
+        some = ids[i : i + (block << 10)]
+        whole = len(some) // block * block
+        for rows in (some[:whole].reshape(-1, block), some[whole:].reshape(1, -1)):
+            rows = np.sort(rows, axis=1)
+            new = np.ones(rows.shape, dtype=bool)
+            np.not_equal(rows[:, 1:], rows[:, :-1], out=new[:, 1:])
+            held += np.bincount(rows[new], minlength=len(held))
+    found = np.flatnonzero(held)
+    return Prior(found.astype(np.uint32), held[found])
+
+
+def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 3072) -> tuple[Prior, list[tuple[int, int, bytes]]]:
+    """The prior, and (number of ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block. A block shorter than its group's others is filled with its last id.
 
     The coder keeps a 64-bit low end and a range of at least 2**48; 16-bit words go out, and a carry is added to the last one. Words
     above 16 bits are settled at the end.
     """
     ids = np.asarray(ids, dtype=np.uint32)
-    if len(ids) and int(ids.max()) >= 1 << (CLASSES - 1):
-        raise ValueError("ids need fewer bits")
-    out = []
+    if len(ids) and int(ids.max()) >= 1 << 23 or block >= 1 << 16:
+        raise ValueError("ids or blocks need fewer bits")
+    prior, out = prior_of(ids, block), []
+    by_id = np.zeros(int(ids.max(initial=0)) + 1, dtype=I)
+    by_id[prior.ids] = prior.packed & (1 << 40) - 1
     with np.errstate(over="ignore"):
         for first, own in _groups(_sizes(len(ids), block), lanes_at_once):
             n, steps = len(own), int(own.max())
-            padded = np.zeros(n * steps, dtype=np.uint32)
+            padded = np.full(n * steps, ids[-1], dtype=np.uint32)
             padded[: int(own.sum())] = ids[first * block : first * block + int(own.sum())]
-            columns = np.ascontiguousarray(padded.reshape(n, steps).T)
-            bits = np.frexp(columns.astype(np.float64))[1].astype(np.int64)
-            model, lane = _Model(n), np.arange(n)
-            low, rng, used = np.zeros(n, dtype=U), np.full(n, 2**64 - 1, dtype=U), np.zeros(n, dtype=np.int64)
+            rows = padded.reshape(n, steps)
+            columns = np.ascontiguousarray(rows.T)
+            model, lane, counted = _Model(n, steps), np.arange(n), _Counted(rows)
+            low, rng = np.zeros(n, dtype=U), np.full(n, 2**64 - 1, dtype=U)
             words, room = np.zeros(n * (steps + 64), dtype=np.uint32), steps + 64
+            place, since, window, bits = lane.copy(), 0, counted.refresh(0), 0
             for step in range(steps):
-                if step % 16 == 0 and int(used.max()) + 56 > room:
+                if step % 16 == 0 and int(place.max()) // n + 56 > room:
                     words, room = np.concatenate([words, np.zeros(n * room, dtype=np.uint32)]), 2 * room
-                model.lengths(step, False)
-                x, kinds = columns[step], bits[step]
-                f2, f1 = model.predict()
-                one = x == model.g2
-                other = (x == model.g1) & ~one
-                fresh = ~(one | other)
+                if refreshed(step):
+                    window, since, bits = counted.refresh(step), step, counted_bits(step)
+                    model.refresh(step)
+                x = columns[step].astype(I)
+                a, c = model.predict()
+                span = window[step - since].astype(I)
+                missed = x != model.guess
+                fresh = span == 0
+                fresh &= missed
+                miss, new = missed.astype(U), fresh.astype(U)
+                start, size = a * miss, c - a
+                start += size * new  # of the prediction 0, of a counted id a, of a new one c
+                size -= a
+                size *= miss
+                size += a
+                c += size
+                size += (U(ONE) - c) * new
                 part = rng >> U(FLAG_BITS)
-                delta = part * np.where(one, U(0), np.where(other, f2, f2 + f1))
-                rng = part * np.where(one, f2, np.where(other, f1, U(1 << FLAG_BITS) - f2 - f1))
-                at = model.kind_row + kinds
-                part = rng >> U(KIND_BITS)
-                delta += part * (model.begin.take(at) * fresh)
-                rng = part * np.where(fresh, model.share.take(at), U(1 << KIND_BITS))
-                rest = (np.maximum(kinds - 1, 0) * fresh).astype(U)
-                rng >>= rest
-                delta += rng * (x & ((U(1) << rest) - U(1)))
-                low += delta
-                over = low < delta
-                if over.any():
-                    at = (used[over] - 1) * n + lane[over]
-                    words[at] += np.uint32(1)
-                while True:
-                    need = rng < LEAST
-                    if not need.any():
-                        break
-                    words[used * n + lane] = low >> U(48)
-                    used += need
-                    shift = need.astype(U) << U(4)
-                    low <<= shift
-                    rng <<= shift
-                model.update(x, one, other, kinds, fresh)
+                start *= part
+                rng = part * size
+                span += by_id.take(x) * new.view(I)
+                new *= U(prior.bits - bits)
+                new += U(bits)
+                part = rng >> new
+                size = (span >> 20).view(U)
+                size *= part
+                size *= miss
+                start += size
+                span &= PART
+                np.multiply(part, span.view(U), out=rng, where=missed)
+                low += start
+                over = np.flatnonzero(low < start)
+                words[place[over] - n] += np.uint32(1)
+                words[place] = low >> U(48)
+                need = (rng < LEAST).astype(U)
+                place += need.view(I) * n
+                need <<= U(4)
+                low <<= need
+                rng <<= need
+                while len(more := np.flatnonzero(rng < LEAST)):
+                    words[place[more]] = low[more] >> U(48)
+                    place[more] += n
+                    low[more] <<= U(16)
+                    rng[more] <<= U(16)
+                model.update(step, x, missed, fresh)
             words = np.concatenate([words, np.zeros(8 * n, dtype=np.uint32)])
             for _ in range(4):
-                words[used * n + lane] = low >> U(48)
+                words[place] = low >> U(48)
                 low <<= U(16)
-                used += 1
+                place += n
+            used = place // n
             words = words.reshape(-1, n)[: int(used.max())]
             words[np.arange(len(words))[:, None] >= used] = 0
             for j in range(len(words) - 1, 0, -1):
                 words[j - 1] += words[j] >> np.uint32(16)
-            coded = np.ascontiguousarray(words.T).astype("<u2")
+            coded = np.ascontiguousarray(words.astype("<u2").T)
             for i in range(n):
                 raw = padded[i * steps : i * steps + own[i]].astype("<u4").tobytes()
                 out.append((int(own[i]), zlib.crc32(raw), coded[i, : used[i]].tobytes()))
-    return out
+    return prior, out
 
 
-def decode(blocks: list[tuple[int, int, bytes]], lanes_at_once: int = 4096) -> np.ndarray:
-    """The ids of encode()'s blocks; a block whose checksum differs raises ValueError."""
+def decode(prior: Prior, blocks: list[tuple[int, int, bytes]], lanes_at_once: int = 3072) -> np.ndarray:
+    """The ids of encode()'s blocks, all or some; a block whose checksum differs raises ValueError."""
     out = []
     with np.errstate(over="ignore", divide="ignore"):
         for first, part_sizes in _groups(np.array([b[0] for b in blocks], dtype=np.int64), lanes_at_once):
-            blobs = [b[2] for b in blocks[first : first + lanes_at_once]]
+            blobs = [b[2] for b in blocks[first : first + len(part_sizes)]]
             lengths = np.array([len(b) // 2 for b in blobs])
-            words = np.concatenate([np.frombuffer(b"".join(b[: 2 * (len(b) // 2)] for b in blobs), dtype="<u2").astype(U), np.zeros(8, dtype=U)])
+            words = np.concatenate([np.frombuffer(b"".join(b[: 2 * (len(b) // 2)] for b in blobs), dtype="<u2"), np.zeros(8, dtype=np.uint16)])
             n, steps, last = len(blobs), int(part_sizes.max(initial=0)), len(words) - 1
             at = np.cumsum(lengths) - lengths
-            code, rng, model = np.zeros(n, dtype=U), np.full(n, 2**64 - 1, dtype=U), _Model(n)
+            code, rng, model = np.zeros(n, dtype=U), np.full(n, 2**64 - 1, dtype=U), _Model(n, steps)
             for _ in range(4):
                 code = code << U(16) | words.take(at, mode="clip")
                 at += 1
-            got = np.zeros((steps, n), dtype=np.uint32)
+            rows, got, since = np.zeros((n, steps), dtype=np.uint32), np.zeros((steps, n), dtype=np.uint32), 0
+            ahead = len(prior.places)
+            spans, bits, row = np.concatenate([prior.places, np.full(n, 1, dtype=I)]), 0, np.arange(n, dtype=U) + U(ahead)
             for step in range(steps):
-                model.lengths(step, True)
-                f2, f1 = model.predict()
-                both = f2 + f1
+                if refreshed(step):
+                    rows[:, since:step] = got[since:step].T
+                    bits, since = counted_bits(step), step
+                    spans = np.concatenate([prior.places, _ordered(np.ascontiguousarray(rows[:, step - (1 << bits) : step]))])
+                    row = (np.arange(n, dtype=U) << U(bits)) + U(ahead)
+                    model.refresh(step)
+                a, c = model.predict()
                 part = rng >> U(FLAG_BITS)
-                one, other = code < part * f2, code < part * both
-                fresh = ~other
-                other &= ~one
-                code -= part * np.where(one, U(0), np.where(other, f2, both))
-                rng = part * np.where(one, f2, np.where(other, f1, U(1 << FLAG_BITS) - both))
-                part = rng >> U(KIND_BITS)
-                place = np.minimum(code // part, U((1 << KIND_BITS) - 1)).astype(np.int64)
-                kinds = model.place.take(model.place_row + place).astype(np.int64)
-                own = model.kind_row + kinds
-                code -= part * (model.begin.take(own) * fresh)
-                rng = part * np.where(fresh, model.share.take(own), U(1 << KIND_BITS))
-                rest = (np.maximum(kinds - 1, 0) * fresh).astype(U)
-                rng >>= rest
-                low = np.minimum(code // rng, (U(1) << rest) - U(1))
-                code -= rng * low
-                x = np.where(one, model.g2, np.where(other, model.g1, ((kinds > 0).astype(U) << rest | low).astype(np.uint32)))
-                while True:
-                    need = rng < LEAST
-                    if not need.any() or int(at.min()) > last:
-                        break
-                    shift = need.astype(U) << U(4)
-                    code = code << shift | words.take(at, mode="clip") * need
-                    rng <<= shift
-                    at += need
-                model.update(x, one, other, kinds, fresh)
+                a *= part
+                c *= part
+                missed, fresh = code >= a, code >= c
+                miss, new = missed.astype(U), fresh.astype(U)
+                size = c - a
+                code -= a * miss
+                code -= size * new
+                size -= a
+                size *= miss
+                size += a
+                part <<= U(FLAG_BITS)
+                c += size
+                part -= c
+                part *= new
+                rng = size + part
+                shift = new * U(prior.bits - bits)
+                shift += U(bits)
+                part = rng >> shift
+                where = code // part
+                where += row
+                new *= row
+                where -= new
+                span = spans.take(where.view(I), mode="clip")
+                size = span >> 20
+                size &= PART
+                size = size.view(U)
+                size *= part
+                size *= miss
+                code -= size
+                np.multiply(part, (span & PART).view(U), out=rng, where=missed)
+                span >>= 40
+                x = np.where(missed, span, model.guess)
+                need = (rng < LEAST).astype(U)
+                more = words.take(at, mode="clip") * need
+                at += need.view(I)
+                need <<= U(4)
+                code <<= need
+                code |= more
+                rng <<= need
+                while len(more := np.flatnonzero(rng < LEAST)) and int(at.min()) <= last:
+                    code[more] = code[more] << U(16) | words.take(at[more], mode="clip")
+                    rng[more] <<= U(16)
+                    at[more] += 1
+                model.update(step, x, missed, fresh)
                 got[step] = x
-            rows = np.ascontiguousarray(got.T)
-            for i, (size, crc, _) in enumerate(blocks[first : first + lanes_at_once]):
+            rows[:, since:] = got[since:].T
+            for i, (size, crc, _) in enumerate(blocks[first : first + len(part_sizes)]):
                 if zlib.crc32(rows[i, :size].astype("<u4").tobytes()) != crc:
                     raise ValueError(f"checksum of block {first + i}")
                 out.append(rows[i, :size])
@@ -214,25 +394,27 @@ def decode(blocks: list[tuple[int, int, bytes]], lanes_at_once: int = 4096) -> n
 
 
 def pack(doc_ids: np.ndarray, null: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = 2048) -> bytes:
-    """A file: magic, number of documents and blocks, checksummed table of documents (id, null, number of ids), table of blocks, their bytes."""
-    blocks = encode(ids, block)
+    """A file: magic, number of documents and blocks, sizes of two tables and their checksum, tables of documents (id, null, number of ids), of the prior and of blocks, the blocks' bytes."""
+    prior, blocks = encode(ids, block)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + null.astype("u1").tobytes() + lengths.astype("<u4").tobytes(), 1)
-    heads = b"".join(struct.pack("<3I", n, crc, len(raw)) for n, crc, raw in blocks)
-    return MAGIC + struct.pack("<4I", len(doc_ids), len(blocks), len(docs), zlib.crc32(docs + heads)) + docs + heads + b"".join(b[2] for b in blocks)
+    heads, raw_prior = b"".join(struct.pack("<3I", n, crc, len(raw)) for n, crc, raw in blocks), prior.dumped()
+    tables = docs + raw_prior + heads
+    return MAGIC + struct.pack("<5I", len(doc_ids), len(blocks), len(docs), len(raw_prior), zlib.crc32(tables)) + tables + b"".join(b[2] for b in blocks)
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, null, lengths, ids) of pack(); ValueError where a checksum or the magic differs."""
     if raw[: len(MAGIC)] != MAGIC:
         raise ValueError("no id file")
-    at = len(MAGIC) + 16
-    n, k, size, crc = struct.unpack("<4I", raw[len(MAGIC) : at])
-    if zlib.crc32(raw[at : at + size + 12 * k]) != crc:
+    at = len(MAGIC) + 20
+    n, k, size, prior_size, crc = struct.unpack("<5I", raw[len(MAGIC) : at])
+    heads = at + size + prior_size
+    if zlib.crc32(raw[at : heads + 12 * k]) != crc:
         raise ValueError("checksum of the tables")
     docs = zlib.decompress(raw[at : at + size])
-    blocks, pos = [], at + size + 12 * k
+    blocks, pos = [], heads + 12 * k
     for i in range(k):
-        count, check, length = struct.unpack("<3I", raw[at + size + 12 * i : at + size + 12 * i + 12])
+        count, check, length = struct.unpack("<3I", raw[heads + 12 * i : heads + 12 * i + 12])
         blocks.append((count, check, raw[pos : pos + length]))
         pos += length
-    return np.frombuffer(docs[: 8 * n], "<i8"), np.frombuffer(docs[8 * n : 9 * n], "u1"), np.frombuffer(docs[9 * n :], "<u4"), decode(blocks)
+    return np.frombuffer(docs[: 8 * n], "<i8"), np.frombuffer(docs[8 * n : 9 * n], "u1"), np.frombuffer(docs[9 * n :], "<u4"), decode(Prior.loaded(raw[at + size : heads]), blocks)

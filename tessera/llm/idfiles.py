@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -16,32 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, idcoder
-from .common import scratch_path, written
+from . import bpe, idcoder, wordpieces
+from .common import scratch_path, span_hashes, written
 
 
 @dataclass(frozen=True)
 class IdFileParams:
-    """file_ids: ids after which a file ends (with whole documents); partition_chars: characters of text that one task writes."""
+    """file_ids: ids after which a file ends (with whole documents); partition_chars: about how many characters of text one task writes; chunk_chars: how many it encodes at a time."""
 
     end_id: int = 2
     block: int = 2048
-    file_ids: int = 4_000_000
-    partition_chars: int = 20_000_000
+    file_ids: int = 6_000_000
+    partition_chars: int = 10_000_000
+    chunk_chars: int = 1_000_000
     partitions: int = 0
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. It meets each distinct word once and the texts' ids are put together from those; texts with a special token go to it whole.
+    """Ids by the tokenizers library, an end id after each text. It meets each distinct word once and the texts' ids are put together from those.
 
-    Words of a space and letters go to it in runs: such words side by side are still the same words, no token crosses their bounds,
-    and the tokens' lengths in bytes tell where each word ends.
+    Words are cut as numpy spans and looked up by a 64-bit hash. Words of a space and letters go to the library in runs: such words side by
+    side are still the same words, no token crosses their bounds, and the tokens' lengths in bytes tell where each word ends. Texts with a
+    special token or characters beyond the first plane go to it whole.
     """
 
     RUN = 500
-    _plain = re.compile(f" [{bpe.LETTER}]+").fullmatch
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -53,90 +52,113 @@ class LibraryEncoder:
         for piece, i in vocab.items():
             self.bytes[i] = len(piece)  # a character stands for a byte
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.max_words = max_words
+        self.max_words, self.end_id = max_words, end_id
         self._reset()
 
     def _reset(self) -> None:
-        self.words = bpe._Numbers()
-        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-
-    def _fresh(self, words: list[str]) -> None:
-        """Adds the ids of new words, in their order."""
-        plain = [i for i, w in enumerate(words) if self._plain(w)]
-        rest = sorted(set(range(len(words))) - set(plain))
-        runs = ["".join(words[i] for i in plain[k : k + self.RUN]) for k in range(0, len(plain), self.RUN)]
+        self.words = wordpieces.WordTable()
+        self.words.add(np.ones(1, dtype=np.uint64), np.array([self.end_id], dtype=np.int32), np.ones(1, dtype=np.int64))
+
+    def _fresh(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of new words in turn, number of ids of each) of spans of code points."""
+        letters = bpe.gather(codes, starts, lengths)
+        at = np.cumsum(lengths) - lengths
+        good = wordpieces.simple_letters(letters)
+        good[at] = letters[at] == 32
+        plain = np.logical_and.reduceat(good, at) & (lengths > 1)
+        simple, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        run = bpe.gather(letters, at[simple], lengths[simple])
+        size = np.add.reduceat(1 + (run >= 128), np.cumsum(lengths[simple]) - lengths[simple], dtype=np.int64) if len(simple) else simple
+        cuts = np.append(np.cumsum(lengths[simple])[self.RUN - 1 : -1 : self.RUN], len(run)).tolist()
+        runs = [run[a:b].tobytes().decode("utf-16-le") for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         joined = [x for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for x in e.ids]
-        single = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        others = [letters[a:b].tobytes().decode("utf-16-le") for a, b in zip(at[rest].tolist(), (at + lengths)[rest].tolist(), strict=True)]
+        single = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         ids = np.array(joined + [x for e in single for x in e], dtype=np.int32)
-        ends = np.searchsorted(np.cumsum(self.bytes[ids[: len(joined)]]), np.cumsum([len(words[i].encode()) for i in plain], dtype=np.int64)) + 1
-        if len(plain) and ends[-1] != len(joined):
+        ends = np.searchsorted(np.cumsum(self.bytes[ids[: len(joined)]]), np.cumsum(size)) + 1
+        if len(simple) and ends[-1] != len(joined):
             raise ValueError("the words' lengths don't fit their tokens")
-        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in single], dtype=np.int64)]).astype(np.int64)
-        starts, order = np.cumsum(lengths) - lengths, np.argsort(np.array(plain + rest, dtype=np.int64))
-        self.ids = np.concatenate([self.ids, bpe.gather(ids, starts[order], lengths[order])])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths[order])])
+        counts = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in single], dtype=np.int64)]).astype(np.int64)
+        first, order = np.cumsum(counts) - counts, np.argsort(np.concatenate([simple, rest]))
+        return bpe.gather(ids, first[order], counts[order]), counts[order]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > self.max_words:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of ids of each), end ids counted; null counts as the empty text."""
+        if self.words.count > self.max_words:
             self._reset()
-        known, get, rows, whole = len(self.words), self.words.__getitem__, [], {}
-        for i, t in enumerate(texts):
-            if t and any(s in t for s in self.special):
-                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int32)
-                t = None
-            rows.append(np.array(list(map(get, (bpe._FULL if bpe._WIDE.search(t) else bpe._NARROW).findall(t))) if t else [], dtype=np.int64))
-        fresh = list(itertools.islice(self.words, known, None))
-        if fresh:
-            self._fresh(fresh)
-        return [whole[i] if i in whole else bpe.gather(self.ids, self.at[r], self.at[r + 1] - self.at[r]) for i, r in enumerate(rows)]
-
-
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
-def _encoder(path: str) -> LibraryEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+        whole = {i: t for i, t in enumerate(texts) if t and (any(s in t for s in self.special) or (not t.isascii() and wordpieces.outside(t)))}
+        mark = chr(wordpieces.END)
+        text = mark.join(["" if i in whole else t or "" for i, t in enumerate(texts)]) + mark
+        codes = np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16)
+        starts, ends = wordpieces.spans(codes)
+        last = np.flatnonzero(codes[starts] == wordpieces.END)
+        hashes = span_hashes(codes, starts, ends)
+        hashes[hashes < 2] = 2
+        hashes[last] = 1
+        numbers = self.words.find(hashes)
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            fresh, at = np.unique(hashes[unknown], return_index=True)
+            first = unknown[at]
+            self.words.add(fresh, *self._fresh(codes, starts[first], ends[first] - starts[first]))
+            numbers[unknown] = self.words.find(hashes[unknown])
+        ids, lengths = self.words.runs(numbers)
+        lengths = np.diff(np.cumsum(lengths)[last], prepend=0)
+        if whole:
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+                parts[i] = np.array([*e.ids, self.end_id], dtype=np.int32)
+            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        return ids, lengths
+
+
+_ENCODERS: dict[tuple[str, int], LibraryEncoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> LibraryEncoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = LibraryEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def write_files(documents: DataFrame, tokenizer_path: str, params: IdFileParams = IdFileParams()) -> DataFrame:
     """Writes coded files of documents(doc_id, text, ...) in ascending doc_id order; returns path, first_doc, n_docs, n_ids, start of each file.
 
-    Null ids come first; a null text has the end id only; repeated rows each count. Documents are dealt by ranges of doc_id, each range
-    sorted in its task with spilling, so no task's memory grows with the table. Files of lost attempts have names that the returned
-    table doesn't hold. Only that table of files, a row for some millions of ids, is put in one order to add up the starts.
+    Null ids come first; a null text has the end id only; repeated rows each count. Documents are dealt by ranges of doc_id and, so that
+    one id with many texts is no hot task, of a hash of the text; each range is sorted in its task with spilling, so no task's memory grows
+    with the table. The number of ranges comes from the number of rows and the mean length of a few; it decides sizes only. Files of lost
+    attempts have names that the returned table doesn't hold. Only that table of files, a row for some millions of ids, is put in one order
+    to add up the starts.
     """
     p, target = params, scratch_path(documents.sparkSession, "ids")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = p.partitions or max(1, int((docs.agg(F.sum(F.length("text"))).first()[0] or 0) // p.partition_chars) + 1)
-    ranged = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    n = p.partitions or max(1, round(docs.count() * (docs.limit(2000).agg(F.avg(F.length("text"))).first()[0] or 0) / p.partition_chars))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = docs.repartitionByRange(n, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(batches):
         store, root = pafs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
-        encoder = _encoder(tokenizer_path)
-        doc, ids, size = [], [], 0
+        encoder = _encoder(tokenizer_path, p.end_id)
+        doc, lengths, ids, size, turn = [], [], [], 0, 0
 
         def close():
             name = f"{uuid.uuid4().hex}.ids"
             with store.open_output_stream(f"{root}/{name}") as out:
-                lengths = np.array([len(x) for x in ids], dtype=np.int64)
-                out.write(idcoder.pack(np.array([d or 0 for d in doc], dtype=np.int64), np.array([d is None for d in doc]), lengths, np.concatenate(ids), p.block))
-            return pa.RecordBatch.from_arrays([pa.array([f"{target}/{name}"]), pa.array([doc[0]], pa.int64()), pa.array([len(doc)], pa.int64()), pa.array([size], pa.int64()), pa.array([part[0]], pa.int64())], ["path", "first_doc", "n_docs", "n_ids", "turn"])
+                out.write(idcoder.pack(np.array([d or 0 for d in doc], dtype=np.int64), np.array([d is None for d in doc]), np.concatenate(lengths), np.concatenate(ids), p.block))
+            return pa.RecordBatch.from_arrays([pa.array([f"{target}/{name}"]), pa.array([doc[0]], pa.int64()), pa.array([len(doc)], pa.int64()), pa.array([size], pa.int64()), pa.array([turn], pa.int64())], ["path", "first_doc", "n_docs", "n_ids", "turn"])
 
-        part = [0]
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                few = batch.slice(start, 1000)
-                for d, x in zip(few.column(0).to_pylist(), encoder.encode(few.column(1).to_pylist()), strict=True):
-                    doc.append(d)
-                    ids.append(np.append(x, p.end_id))
-                    size += len(x) + 1
-                    if size >= p.file_ids:
-                        yield close()
-                        doc, ids, size = [], [], 0
-                        part[0] += 1
+            texts = batch.column(1).to_pylist()
+            for lo, hi in bpe.pieces([len(t or "") for t in texts], p.chunk_chars):
+                few, n_ids = encoder.encode(texts[lo:hi])
+                doc += batch.column(0).slice(lo, hi - lo).to_pylist()
+                lengths.append(n_ids)
+                ids.append(few)
+                size += len(few)
+                if size >= p.file_ids:
+                    yield close()
+                    doc, lengths, ids, size, turn = [], [], [], 0, turn + 1
         if doc:
             yield close()
 

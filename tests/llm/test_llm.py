@@ -306,16 +306,48 @@ def test_slots_must_agree(spark):
 
 def test_id_coder():
     rng = np.random.default_rng(8)
-    for ids in (np.zeros(0), np.array([0]), np.full(5000, 50256), rng.integers(0, 50257, 9000), np.tile([5, 9, 2, 7], 2000), np.arange(1 << 12)):
-        blocks = idcoder.encode(ids.astype(np.uint32), block=512, lanes_at_once=7)
-        assert (idcoder.decode(blocks, lanes_at_once=5) == ids).all()
+    for ids in (np.zeros(0), np.array([0]), np.full(5000, 50256), rng.integers(0, 50257, 9000), np.tile([5, 9, 2, 7], 2000), np.arange(1 << 12), rng.integers(0, 300000, 70000), np.minimum(rng.zipf(1.3, 6000), 1 << 22)):
+        prior, blocks = idcoder.encode(ids.astype(np.uint32), block=512, lanes_at_once=7)
+        again = idcoder.Prior.loaded(prior.dumped())
+        assert (idcoder.decode(again, blocks, lanes_at_once=5) == ids).all()
     n, crc, raw = blocks[3]
     blocks[3] = (n, crc ^ 1, raw)
     with pytest.raises(ValueError, match="checksum of block 3"):
-        idcoder.decode(blocks)
-    again = idcoder.encode(ids.astype(np.uint32), block=512)
-    assert (idcoder.decode(again[2:4]) == ids[1024:2048]).all()  # blocks stand alone
-    assert sum(len(b[2]) for b in idcoder.encode(np.tile([5, 9, 2, 7], 2000).astype(np.uint32))) < 8000
+        idcoder.decode(prior, blocks)
+    prior, again = idcoder.encode(ids.astype(np.uint32), block=512)
+    assert (idcoder.decode(prior, again[2:4]) == ids[1024:2048]).all()  # blocks stand alone
+    assert sum(len(b[2]) for b in idcoder.encode(np.tile([5, 9, 2, 7], 2000).astype(np.uint32))[1]) < 8000
+
+
+def adaptive_order0_bits(ids, vocabulary):
+    """Ideal length of adaptive counts with an escape, a new id at equal shares of the vocabulary."""
+    counts, bits = {}, 0.0
+    for i, x in enumerate(ids):
+        bits -= math.log2(counts[x] / (i + 1)) if x in counts else math.log2(1 / (i + 1) / vocabulary)
+        counts[x] = counts.get(x, 0) + 1
+    return bits
+
+
+def test_id_coder_beats_zlib_and_order_0(spark, library):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    ids = np.array([i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]], dtype=np.uint32)
+    prior, blocks = idcoder.encode(ids)
+    coded = 8 * (sum(len(b[2]) for b in blocks) + len(prior.dumped()))
+    parts = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
+    assert coded < 8 * sum(len(zlib.compress(x.astype("<u2").tobytes(), 9)) for x in parts)
+    assert coded < sum(adaptive_order0_bits(x.tolist(), 50257) for x in parts)
+
+
+def test_library_encoder(library):
+    rng = random.Random(9)
+    bits = ["a", "b", " ", "'", "ç", "9", "\n", "!", "é", "'s", "'ll", " '", "  ", "\t", "'r", "e", "ve", "日", "½", "\uffff", "🙂", "<|endoftext|>", "\u2019"]
+    texts = ODD + ["".join(rng.choice(bits if i % 5 == 0 else bits[:18]) for _ in range(rng.randint(1, 50))) for i in range(1500)]
+    encoder = idfiles.LibraryEncoder(tokenizer_path(), 2, max_words=300)
+    for lo in range(0, len(texts), 500):
+        ids, lengths = encoder.encode(texts[lo : lo + 500])
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        for i, t in enumerate(texts[lo : lo + 500]):
+            assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2]
 
 
 def test_id_files(spark, library):
