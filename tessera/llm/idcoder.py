@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"TIDS4\n"
-SLOTS_LOG = 9
+SLOTS_LOG = 8
 FLAG_BITS, MOST_COUNTED = 12, 10
 U, I = np.uint64, np.int64
 LEAST = U(1 << 48)
@@ -29,8 +29,8 @@ WEIGHTS = (1, 4, 16, 64)
 
 
 def refreshed(step: int) -> bool:
-    """Whether counts and probabilities are taken anew before this step: at powers of two from 8 to 128, then each 128th up to 512 and each 256th."""
-    return step >= 8 and not (step & (step - 1) if step < 128 else step % (128 if step < 512 else 256))
+    """Whether counts and probabilities are taken anew before this step: at 32, 64, 128 and each 256th."""
+    return step in (32, 64, 128) or (step > 0 and step % 256 == 0)
 
 
 def counted_bits(step: int) -> int:
@@ -119,8 +119,8 @@ class _Model:
         best = np.where(two, self.e2, self.e1)
         ctx = (best & 3).astype(np.int32)
         ctx += self.row
-        ctx += two.view(np.int8) << np.int8(2)
         ctx += self.missed_last
+        ctx += two.view(np.int8) * np.int8(4)
         self.ctx = ctx
         best >>= 2
         self.guess = best
@@ -281,11 +281,14 @@ def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 3072) -> tup
                 size *= miss
                 start += size
                 span &= PART
-                np.multiply(part, span.view(U), out=rng, where=missed)
+                part *= span.view(U)
+                part -= rng
+                part *= miss
+                rng += part
                 low += start
                 over = np.flatnonzero(low < start)
                 words[place[over] - n] += np.uint32(1)
-                words[place] = low >> U(48)
+                words[place] = (low >> U(48)).astype(np.uint32)
                 need = (rng < LEAST).astype(U)
                 place += need.view(I) * n
                 need <<= U(4)
@@ -369,7 +372,10 @@ def decode(prior: Prior, blocks: list[tuple[int, int, bytes]], lanes_at_once: in
                 size *= part
                 size *= miss
                 code -= size
-                np.multiply(part, (span & PART).view(U), out=rng, where=missed)
+                part *= (span & PART).view(U)
+                part -= rng
+                part *= miss
+                rng += part
                 span >>= 40
                 x = np.where(missed, span, model.guess)
                 need = (rng < LEAST).astype(U)

@@ -132,7 +132,8 @@ def write_files(documents: DataFrame, tokenizer_path: str, params: IdFileParams
     """
     p, target = params, scratch_path(documents.sparkSession, "ids")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = p.partitions or max(1, round(docs.count() * (docs.limit(2000).agg(F.avg(F.length("text"))).first()[0] or 0) / p.partition_chars))
+    few = [r[0] or 0 for r in docs.select(F.length("text")).take(1000)]
+    n = p.partitions or max(1, round(docs.count() * sum(few) / max(1, len(few)) / p.partition_chars))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ranged = docs.repartitionByRange(n, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
