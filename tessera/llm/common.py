@@ -89,7 +89,10 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """64-bit hashes of codes[start:end] for each span, all spans at once: differences of prefix sums of a polynomial, brought to one power."""
     power, inverse = _tables(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
+    terms = codes.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= power[: len(codes)]
+    np.cumsum(terms, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -66,13 +66,14 @@ class LibraryEncoder:
         good = wordpieces.simple_letters(letters)
         good[at] = letters[at] == 32
         plain = np.logical_and.reduceat(good, at) & (lengths > 1)
+        form = "latin-1" if codes.itemsize == 1 else "utf-16-le"
         simple, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         run = bpe.gather(letters, at[simple], lengths[simple])
         size = np.add.reduceat(1 + (run >= 128), np.cumsum(lengths[simple]) - lengths[simple], dtype=np.int64) if len(simple) else simple
         cuts = np.append(np.cumsum(lengths[simple])[self.RUN - 1 : -1 : self.RUN], len(run)).tolist()
-        runs = [run[a:b].tobytes().decode("utf-16-le") for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        runs = [run[a:b].tobytes().decode(form) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         joined = [x for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for x in e.ids]
-        others = [letters[a:b].tobytes().decode("utf-16-le") for a, b in zip(at[rest].tolist(), (at + lengths)[rest].tolist(), strict=True)]
+        others = [letters[a:b].tobytes().decode(form) for a, b in zip(at[rest].tolist(), (at + lengths)[rest].tolist(), strict=True)]
         single = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         ids = np.array(joined + [x for e in single for x in e], dtype=np.int32)
         ends = np.searchsorted(np.cumsum(self.bytes[ids[: len(joined)]]), np.cumsum(size)) + 1
@@ -86,11 +87,9 @@ class LibraryEncoder:
         """(ids of all texts in turn, number of ids of each), end ids counted; null counts as the empty text."""
         if self.words.count > self.max_words:
             self._reset()
-        whole = {i: t for i, t in enumerate(texts) if t and (any(s in t for s in self.special) or (not t.isascii() and wordpieces.outside(t)))}
-        mark = chr(wordpieces.END)
-        text = mark.join(["" if i in whole else t or "" for i, t in enumerate(texts)]) + mark
-        codes = np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16)
-        starts, ends = wordpieces.spans(codes)
+        whole = {i: t for i, t in enumerate(texts) if t and (any(s in t for s in self.special) or wordpieces.outside(t))}
+        codes, kind = wordpieces.coded(["" if i in whole else t or "" for i, t in enumerate(texts)])
+        starts, ends = wordpieces.spans(codes, kind)
         last = np.flatnonzero(codes[starts] == wordpieces.END)
         hashes = span_hashes(codes, starts, ends)
         hashes[hashes < 2] = 2

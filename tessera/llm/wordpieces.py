@@ -10,15 +10,19 @@ import regex
 
 from . import bpe
 
-END = 0xFFFF  # a mark between texts; texts that hold it, or characters beyond the first plane, are not for spans()
+END = 0  # a mark between texts; texts that hold it, or characters beyond the first plane, are not for spans()
 _LETTER, _NUMBER, _BLANK, _OTHER, _END = range(5)
-outside = re.compile("[\ud800-\udfff\uffff-\U0010ffff]").search
+_beyond = re.compile("[\ud800-\udfff\U00010000-\U0010ffff]").search
+
+
+def outside(text: str) -> bool:
+    return "\0" in text or (not text.isascii() and _beyond(text) is not None)
 
 
 @functools.lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    out = np.full(END + 1, _OTHER, dtype=np.uint8)
-    every = "".join(chr(i) for i in range(END) if not 0xD800 <= i < 0xE000)
+    out = np.full(1 << 16, _OTHER, dtype=np.uint8)
+    every = "".join(chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000)
     for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_BLANK, r"\p{White_Space}")):
         out[[ord(c) for c in regex.findall(pattern, every)]] = kind
     out[END] = _END
@@ -28,17 +32,27 @@ def _classes() -> np.ndarray:
 _SUFFIXES = [(c, 0) for c in "stmd"] + [("r", ord("e")), ("v", ord("e")), ("l", ord("l"))]
 
 
-def spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words of texts in one array of code points (UTF-16), each text followed by END; the END marks are spans too.
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, their classes) of texts in turn, each followed by END; no text may be outside()."""
+    text = "\0".join(texts) + "\0"
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16)
+        return codes, _classes()[codes]
+    return np.frombuffer(raw, dtype=np.uint8), np.frombuffer(raw.translate(_classes()[:256].tobytes()), dtype=np.uint8)
+
+
+def spans(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of coded() texts; the END marks are spans too.
 
     A word is a run of one class with the space before it; of a run of blanks before something else the last one stands alone or, if it is
     a space, goes to what follows; 's, 't, 're, 've, 'm, 'll, 'd are words where an apostrophe begins one.
     """
-    kind = _classes()[codes]
     n = len(codes)
     begins = np.ones(n, dtype=bool)
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
-    begins[kind == _END] = True
+    begins[codes == END] = True
     blank, space = kind == _BLANK, codes == 32
     filled = begins & (kind < _END) & ~blank
     after = np.flatnonzero(filled[1:] & blank[:-1])  # the last blanks before something else
