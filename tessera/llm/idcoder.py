@@ -18,7 +18,7 @@ import numpy as np
 
 MAGIC = b"TIDS4\n"
 SLOTS_LOG = 8
-FLAG_BITS, MOST_COUNTED = 12, 9
+FLAG_BITS, MOST_COUNTED = 12, 8
 U, I = np.uint64, np.int64
 LEAST = U(1 << 48)
 ONE = 1 << FLAG_BITS
