@@ -87,10 +87,46 @@ def test_topk_skips_blocks():
     rng = random.Random(3)
     got = [topk.terms(("needle " * 3 if i == 7 else "") + words(rng, 30, 5000)) for i in range(2000)]
     p = topk.SearchParams(k=1, block=8)
-    ix = topk.index_arrays(np.arange(2000), got, 30.0, p)
-    t = topk.terms("needle")[0]
-    ids, _, read = topk.search(ix, t, np.ones(1), p)
-    assert ids.tolist() == [7] and read < 250
+    shard = topk.Shard(topk.packed(np.arange(2000), got, p), 30.0, p)
+    for query, want in (("needle", [7]), ("needle w1 w2", None), ("w3 w4 w5 w6", None)):
+        t, n, _ = topk.terms(query)
+        at, w = shard.known(t, n.astype(float))
+        scores, bounds = shard.dense_parts([(at, w)])
+        ids, best, read = shard.search(at, w, scores[0], bounds[0])
+        full = np.zeros(2000)
+        for a, x in zip(at, w, strict=True):
+            lo, hi = shard.start[shard.first[a]], shard.start[shard.first[a + 1]]
+            full[shard.doc[lo:hi]] += shard.weight[lo:hi] * x
+        top = np.round(full, 6).max()
+        assert ids.tolist() == [int(shard.ids[np.round(full, 6) == top].min())] and best[0] == pytest.approx(top, abs=1e-5)
+        assert want is None or (ids.tolist() == want and read < 50)
+
+
+@pytest.mark.parametrize("dense", [0.02, 0.3, 2.0])
+@pytest.mark.parametrize("few", [0.0, 1.0])
+def test_topk_ways(dense, few):
+    """All shares of dense rows, with bounds always or at first only, give what the exhaustive search gives, and bounds leave documents unread."""
+    rng = random.Random(int(10 * dense) + int(few))
+    texts = [words(rng, rng.randint(0, 40), 300) + (" rare%d" % rng.randrange(40)) for _ in range(1200)]
+    got = [topk.terms(t) for t in texts]
+    p = topk.SearchParams(k=4, block=4, dense=dense, few=few, waves=(0.05, 0.3, 1))
+    shard = topk.Shard(topk.packed(np.arange(1200), got, p), 20.0, p)
+    plain = topk.Shard(topk.packed(np.arange(1200), got, topk.SearchParams(k=4, block=4, dense=2.0)), 20.0, topk.SearchParams(dense=2.0))
+    reads = 0
+    for q in ["rare1", "rare2 rare3 w1", texts[5], texts[6], "none", "", "w1 w2 w3"]:
+        t, n, _ = topk.terms(q)
+        at, w = shard.known(t, n * 1.5)
+        scores, bounds = shard.dense_parts([(at, w)])
+        ids, best, read = shard.search(at, w, scores[0], bounds[0])
+        reads += read
+        full = np.zeros(1200)
+        for a, x in zip(*plain.known(t, n * 1.5), strict=True):
+            lo, hi = plain.start[plain.first[a]], plain.start[plain.first[a + 1]]
+            full[plain.doc[lo:hi]] += plain.weight[lo:hi] * x
+        full = np.round(full, 6)
+        order = sorted(np.flatnonzero(full > 0), key=lambda i: (-full[i], plain.ids[i]))[:4]
+        assert ids.tolist() == plain.ids[order].tolist() and best.tolist() == pytest.approx(full[order].tolist(), abs=1e-5)
+    assert few == 1.0 or dense > 0.1 or reads < 7 * shard.blocks
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
