@@ -60,7 +60,7 @@ def test_topk(spark):
     rng = random.Random(2)
     texts = [words(rng, rng.randint(1, 60), 80) for _ in range(150)] + ["", None, "w1 w2", "w1 w2"]
     d = docs(spark, texts)
-    p = topk.SearchParams(k=5, block=4, shard_terms=500, query_block=2)
+    p = topk.SearchParams(k=5, block=4, shard_terms=500, query_block=2, blocks_a_task=2, files_a_task=3, batch=2)
     got = topk.top_k(d, d.where("doc_id % 50 = 0 or doc_id >= 150").selectExpr("doc_id query_id", "text"), p).toPandas()
     bags = [{} for _ in texts]
     for i, t in enumerate(texts):
@@ -87,12 +87,12 @@ def test_topk_skips_blocks():
     rng = random.Random(3)
     got = [topk.terms(("needle " * 3 if i == 7 else "") + words(rng, 30, 5000)) for i in range(2000)]
     p = topk.SearchParams(k=1, block=8)
-    shard = topk.Shard(topk.packed(np.arange(2000), got, p), 30.0, p)
+    shard = topk.Shard(topk.packed(np.arange(2000), got[:], p), 30.0, p)
     for query, want in (("needle", [7]), ("needle w1 w2", None), ("w3 w4 w5 w6", None)):
         t, n, _ = topk.terms(query)
         at, w = shard.known(t, n.astype(float))
         scores, bounds = shard.dense_parts([(at, w)])
-        ids, best, read = shard.search(at, w, scores[0], bounds[0])
+        ids, best, read = shard.search(at, w, scores[0], bounds[0], *topk.NOTHING)
         full = np.zeros(2000)
         for a, x in zip(at, w, strict=True):
             lo, hi = shard.start[shard.first[a]], shard.start[shard.first[a + 1]]
@@ -110,14 +110,14 @@ def test_topk_ways(dense, few):
     texts = [words(rng, rng.randint(0, 40), 300) + (" rare%d" % rng.randrange(40)) for _ in range(1200)]
     got = [topk.terms(t) for t in texts]
     p = topk.SearchParams(k=4, block=4, dense=dense, few=few, waves=(0.05, 0.3, 1))
-    shard = topk.Shard(topk.packed(np.arange(1200), got, p), 20.0, p)
+    shard = topk.Shard(topk.packed(np.arange(1200), got[:], p), 20.0, p)
     plain = topk.Shard(topk.packed(np.arange(1200), got, topk.SearchParams(k=4, block=4, dense=2.0)), 20.0, topk.SearchParams(dense=2.0))
     reads = 0
     for q in ["rare1", "rare2 rare3 w1", texts[5], texts[6], "none", "", "w1 w2 w3"]:
         t, n, _ = topk.terms(q)
         at, w = shard.known(t, n * 1.5)
         scores, bounds = shard.dense_parts([(at, w)])
-        ids, best, read = shard.search(at, w, scores[0], bounds[0])
+        ids, best, read = shard.search(at, w, scores[0], bounds[0], *topk.NOTHING)
         reads += read
         full = np.zeros(1200)
         for a, x in zip(*plain.known(t, n * 1.5), strict=True):
