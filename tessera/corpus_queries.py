@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .functions import text as tx
 from .operators import graph as gr
 from .operators import knn as kn
+from .operators import order as od
 from .queries import DW, KEEP, NN, PAR, kept_paragraphs, nn, query, read, verts, words
 from .sources import files
 
@@ -15,32 +16,84 @@ from .sources import files
 # ---- spans, sentences, tokens
 @query(f"WITH w AS (SELECT doc_id, unnest({DW}) w, generate_subscripts({DW}, 1) i, unnest(string_split_regex(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) gap FROM documents), s AS (SELECT doc_id, i - 1 i, w, length(w) n, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) e FROM w WHERE w IS NOT NULL) SELECT doc_id, count(*) words, sum(e)::BIGINT ends, sum(e - n)::BIGINT starts FROM s GROUP BY doc_id")
 def word_spans(spark, sf):
-    s = read(spark, sf, "documents").select("doc_id", tx.spans_of_words("text").alias("s")).where(F.size("s") > 0)
-    add = lambda name: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[name])
-    return s.select("doc_id", F.size("s").cast("long").alias("words"), add("end").alias("ends"), add("start").alias("starts"))
+    """Number of words and sums of their ends and starts: a word's length and the gap before it count in the end of each word from it on."""
+    d = read(spark, sf, "documents").select("doc_id", words().alias("w"), F.split("text", r"(?U)\w+").alias("gap")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    steps = F.zip_with(F.slice("gap", F.lit(1), F.col("n")), "w", lambda g, w: F.length(g) + F.length(w))
+    d = d.select("doc_id", F.col("n").cast("long").alias("words"), total(F.transform(steps, lambda x, i: x * (F.col("n") - i))).alias("ends"), total(F.transform("w", F.length)).alias("letters"))
+    return d.select("doc_id", "words", "ends", (F.col("ends") - F.col("letters")).alias("starts"))
 
 
-@query()
+def _re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+SENTENCES = f"""{PAR}, kp AS (SELECT doc_id, i, x FROM p WHERE {KEEP}),
+    sp AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(replace(x, chr(30), ' '), '{_re2(tx.POSSIBLE_END)}', '\\1{tx.BREAK}\\2', 'g'), '{_re2(tx.NO_END)}', '\\1', 'g'), chr(30)) ps FROM kp),
+    pc AS (SELECT doc_id, i, unnest(ps) piece, generate_subscripts(ps, 1) - 1 sentence FROM sp),
+    ats AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY sentence ROWS UNBOUNDED PRECEDING) - length(piece) + length(regexp_extract(piece, '^\\s*')) s0 FROM pc),
+    sent AS (SELECT doc_id, i::INT i, sentence::INT sentence, piece, s0::BIGINT "start", (s0 + length(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')))::BIGINT "end" FROM ats)"""
+
+
+def _sentences(spark, sf):
+    return tx.sentence_spans(kept_paragraphs(spark, sf).select("doc_id", "i", "x"), ["doc_id", "i"], "x")
+
+
+@query(f'WITH {SENTENCES} SELECT doc_id, i, sentence, "start", "end" FROM sent WHERE "end" > "start"')
 def sentence_table(spark, sf):
     """Sentence spans of each kept paragraph."""
-    p = kept_paragraphs(spark, sf).select("doc_id", "i", F.posexplode(tx.sentence_spans("x")).alias("sentence", "s"))
-    return p.select("doc_id", "i", "sentence", "s.start", "s.end")
+    return _sentences(spark, sf).select("doc_id", "i", "sentence", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+TOKEN_AT = """tk AS (SELECT doc_id, i, unnest(string_split(x, ' ')) w, generate_subscripts(string_split(x, ' '), 1) n FROM kp),
+    ta AS (SELECT doc_id, i::INT i, w, sum(length(w) + 1) OVER (PARTITION BY doc_id, i ORDER BY n ROWS UNBOUNDED PRECEDING) - length(w) - 1 pos FROM tk)"""
+
+
+@query(f"""WITH {SENTENCES}, {TOKEN_AT}, j AS (SELECT ta.doc_id, ta.i, ta.pos, max(sentence) s FROM ta JOIN sent ON sent.doc_id = ta.doc_id AND sent.i = ta.i AND sent."start" <= ta.pos WHERE lower(w) = 'the' GROUP BY ALL)
+    SELECT doc_id, i, pos::BIGINT pos, s sentence FROM j""")
+def sentence_index(spark, sf):
+    """The sentence of each 'the': the last that starts at or before it. Words and sentence starts are one sorted stream, and the latest start goes with each word."""
+    k = kept_paragraphs(spark, sf).select("doc_id", "i", F.posexplode(F.split("x", " ")).alias("n", "w"))
+    pos = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id", "i").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.length("w") - 1
+    t = k.withColumn("pos", pos).where(F.lower("w") == "the").select("doc_id", "i", F.col("pos").cast("long").alias("pos"), F.lit(None).cast("int").alias("sentence"), F.lit(1).alias("kind"))
+    s = _sentences(spark, sf).select("doc_id", "i", F.col("start").cast("long").alias("pos"), "sentence", F.lit(0).alias("kind"))
+    w = Window.partitionBy("doc_id", "i").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return s.unionByName(t).withColumn("sentence", F.last("sentence", ignorenulls=True).over(w)).where("kind = 1").select("doc_id", "i", "pos", "sentence")
+
+
+@query(f"""WITH {SENTENCES}, {TOKEN_AT} SELECT ta.doc_id, ta.i, ta.pos::BIGINT pos, sentence, w FROM ta JOIN sent ON sent.doc_id = ta.doc_id AND sent.i = ta.i AND sent."start" = ta.pos""")
+def annotation_join(spark, sf):
+    """The word at each sentence's start: a join on the key (document, paragraph, place)."""
+    k = kept_paragraphs(spark, sf).select("doc_id", "i", F.posexplode(F.split("x", " ")).alias("n", "w"))
+    pos = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id", "i").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.length("w") - 1
+    t = k.withColumn("pos", pos.cast("long")).select("doc_id", "i", "pos", "w")
+    return t.join(_sentences(spark, sf).select("doc_id", "i", F.col("start").cast("long").alias("pos"), "sentence"), ["doc_id", "i", "pos"])
 
 
 @query()
 def token_table(spark, sf):
-    """Number of tokens of each category; tokens are pieces of at most four word characters with the space before them."""
-    pieces = F.regexp_extract_all("text", F.lit(r"(?U)( ?\w{1,4}|\s|[^\w\s])"), F.lit(1))
-    d = read(spark, sf, "documents").where("text is not null").select("text", pieces.alias("p"))
-    ends = F.aggregate("p", F.struct(F.lit(0).alias("at"), F.array().cast(tx.SPANS).alias("all")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["all"], F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"))).alias("all")))["all"]
-    return d.select(F.explode(tx.token_categories("text", ends)).alias("t")).groupBy("t.category").agg(F.count("*").alias("n"), F.sum((F.col("t.place") + 1 < F.col("t.size")).cast("int")).alias("continued"))
+    """Tokens of each category by a tokenizer file, and how many have more of their word after them."""
+    import public_tokenizers
+
+    t = tx.token_rows(read(spark, sf, "documents").where("text is not null"), public_tokenizers.path("byte_bpe_50k.json"))
+    return t.groupBy("category").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("continues"), F.col("n")).otherwise(0)).alias("continued"))
 
 
 @query("WITH k AS (SELECT doc_id, string_split(text, ' ') ws FROM documents), o AS (SELECT doc_id, i FROM (SELECT doc_id, unnest(ws) w, generate_subscripts(ws, 1) i FROM k) WHERE lower(w) = 'the') SELECT doc_id, (i - 1)::INT i, array_to_string(list_concat(list_concat(ws[greatest(i - 8, 1):i - 1], ['«' || ws[i] || '»']), ws[i + 1:i + 8]), ' ') context FROM o JOIN k USING (doc_id)")
 def keyword_in_context(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("ws"))
     at = F.filter(F.transform("ws", lambda w, i: F.when(F.lower(w) == "the", i)), lambda i: i.isNotNull())
-    return d.select("doc_id", "ws", F.explode(at).alias("i")).select("doc_id", "i", tx.context(F.col("ws"), F.col("i")).alias("context"))
+    found = F.transform(at, lambda i: F.struct(i.alias("i"), tx.context(F.col("ws"), i).alias("context")))  # hits leave their row with their words only
+    return d.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.i", "f.context")
+
+
+@query("""WITH o AS (SELECT doc_id, text, strpos(text, ' the ') s FROM documents), c AS (SELECT doc_id, s, substring(text, greatest(s - 39, 1), least(s, 40)) b, substring(text, s + 5, 40) a, length(text) n FROM o WHERE s > 0)
+    SELECT doc_id, CASE WHEN s > 40 THEN '…' || regexp_replace(b, '^\\S*\\s', '') ELSE b END "left", CASE WHEN n - s - 4 > 40 THEN regexp_replace(a, '\\s\\S*\\z', '') || '…' ELSE a END "right" FROM c""")
+def character_context(spark, sf):
+    """Text around the first ' the ' of each document, forty characters a side, cut at spaces."""
+    d = read(spark, sf, "documents").select("doc_id", "text", F.locate(" the ", "text").alias("s")).where("s > 0")
+    left, right = tx.windowed(F.col("text"), F.col("s"), F.col("s") + 4, 40)
+    return d.select("doc_id", left.alias("left"), right.alias("right"))
 
 
 def _tidy_sql(x: str) -> str:
@@ -179,7 +232,7 @@ HEX = "('0x' || substr(md5('7|' || {s} || i), 1, 8))::BIGINT"
 def random_pair_cosines(spark, sf):
     """2,000 seeded pairs of distinct rows. Only ids are numbered, by a window that sees no vectors; vectors are joined by id."""
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), kn.unit(F.col("embedding").cast("array<double>")).alias("u"))
-    ids = gr.checkpointed(e.select("id").withColumn("p", F.row_number().over(Window.orderBy("id")) - 1))
+    ids = gr.checkpointed(od.numbered(e.select("id"), ["id"], "p"))
     n = ids.count()
     draw = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(f"7|{s}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
     q = spark.range(2000).select(F.col("id").alias("pair"), (draw("a") % n).alias("x"), (draw("b") % (n - 1)).alias("y")).withColumn("y", F.col("y") + (F.col("y") >= F.col("x")).cast("int"))
@@ -196,14 +249,17 @@ def table_difference(spark, sf):
     return files.difference(e, e.withColumn("label", F.when(F.col("vec_id") % 7 == 3, F.lit(-1)).otherwise(F.col("label"))))
 
 
-@query()
+@query(f"""WITH {NN()} SELECT 0 part, '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><graph edgedefault="directed">' line
+    UNION ALL SELECT 1, '<node id="n' || vec_id || '"><data key="label">' || label || '</data></node>' FROM embeddings
+    UNION ALL SELECT 2, '<edge source="n' || src || '" target="n' || dst || '"/>' FROM nn UNION ALL SELECT 3, '</graph></graphml>'""")
 def graphml_export(spark, sf):
     """Lines of the GraphML document of the neighbour graph."""
     return files.graphml_lines(verts(spark, sf), nn(spark, sf).select("src", "dst"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE v FROM embeddings), p AS (SELECT vec_id, v, power(2, floor(log2(abs(v))) - 7) u FROM x WHERE v <> 0)
+    SELECT vec_id, round(max(abs(v - round_even(v / u, 0) * u) / abs(v)), 9) error FROM p GROUP BY vec_id""")
 def bf16_error(spark, sf):
     """Largest relative error of packing each vector to bfloat16 and back; never above 2**-8."""
-    e = read(spark, sf, "embeddings").select("vec_id", "embedding", files.bf16_floats(files.bf16_bits("embedding")).alias("back"))
-    return e.select("vec_id", F.array_max(F.zip_with("embedding", "back", lambda a, b: F.when(a == 0, 0.0).otherwise(F.abs(a - b) / F.abs(a)))).alias("error"))
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), files.bf16_floats(files.bf16_bits("embedding")).cast("array<double>").alias("b"))
+    return e.select("vec_id", F.round(F.array_max(F.zip_with("a", "b", lambda a, b: F.when(a == 0, 0.0).otherwise(F.abs(a - b) / F.abs(a)))), 9).alias("error"))

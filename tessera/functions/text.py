@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import collections
 import re
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 # Residue of removed markup and what it becomes, in this order.
 TIDY = [(r"[ \t\r\n]+", " "), (r"\([ ,;:–—-]*\)", ""), (r"\[ *\]", ""), (r"\( *[,;:] *", "("), (r" *[,;:] *\)", ")"), (r" +([.,;:!?…)\]»”])", "$1"), (r"([,;:])( *[,;:])+", "$1"), (r" +", " ")]
-# Abbreviations that don't end a sentence.
-ABBREVIATIONS = ["av", "sr", "sra", "dr", "dra", "prof", "etc", "ex", "fig", "vol", "cap", "ed", "pág", "séc", "mr", "mrs", "ms", "vs", "e.g", "i.e", "cf", "art", "inc", "ca", "st", "jr"]
-
-CLOSERS = "\"'»”’)]"
-_END = re.compile(f"[.!?…]+[{re.escape(CLOSERS)}]*(?=\\s)")
-_OPENS = set("\"'«“(—–-")
-_KNOWN = frozenset(ABBREVIATIONS)
+# Abbreviations that don't end a sentence, lower case without the last full stop.
+ABBREVIATIONS = (
+    "sr sra srs dr dra drs prof profa profs sto sta st jr av séc sec p.ex ex etc a.c d.c n.º nº n pág págs p pp vol vols cap caps ed eds fig figs cf aprox máx mín "
+    "s.a ltda hab sq gen cel ten sgt mr mrs ms vs op cit ibid apud art arts inc col cols org trad i.e e.g c ca"
+).split()
+
+BREAK = "\u001e"
+CLOSING = "\"'»”’)\\]"
+# A possible end before white space and a capital, digit or opening mark; an end after an abbreviation or an initial, which is none.
+POSSIBLE_END = f"([.!?…]+[{CLOSING}]*)(\\s+[\\p{{Lu}}\\p{{Nd}}\"'«“(—–-])"
+NO_END = f"((?:^|\\s)[(\"'«“]*(?:\\p{{Lu}}|(?i:{'|'.join(re.escape(x) for x in ABBREVIATIONS)}))\\.[.!?…]*[{CLOSING}]*){BREAK}"
 _WORD = re.compile(r"\w+")
-SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-_KINDS = ArrayType(StructType([StructField("category", StringType()), *(StructField(n, IntegerType()) for n in ("word", "place", "size"))]))
+# Scripts that count as one other script.
+SCRIPTS = ("Greek", "Cyrillic", "Arabic", "Hebrew", "Devanagari", "Thai", "Armenian", "Georgian", "Bengali", "Tamil")
 
 
 def tidy(column: Column) -> Column:
@@ -30,24 +35,20 @@ def tidy(column: Column) -> Column:
     return F.trim(column)
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Half-open spans of sentences: closed by an end mark before white space and a capital, digit or opening mark, but not after a known abbreviation or an initial."""
-    if not text:
-        return []
-    out, begin, size = [], len(text) - len(text.lstrip()), len(text.rstrip())
-    for mark in _END.finditer(text, begin, size):
-        after = mark.end()
-        while after < size and text[after].isspace():
-            after += 1
-        if after >= size or not (text[after].isupper() or text[after].isdigit() or text[after] in _OPENS):
-            continue
-        if text[mark.start()] == ".":
-            last = re.split(r"\s", text[max(begin, mark.start() - 40) : mark.start()])[-1].lstrip("(\"'«“")
-            if last.lower() in _KNOWN or (len(last) == 1 and last.isupper()):
-                continue
-        out.append((begin, mark.end()))
-        begin = after
-    return [*out, (begin, size)] if begin < size else out
+def sentences(column: Column) -> Column:
+    """The sentences of a text in turn, each with the white space before it; joined they are the text (a BREAK in it counts as a space)."""
+    marked = F.regexp_replace(F.translate(column, BREAK, " "), POSSIBLE_END, f"$1{BREAK}$2")
+    return F.split(F.regexp_replace(marked, NO_END, "$1"), BREAK)
+
+
+def sentence_spans(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, sentence, piece, start, end (half open, without white space around) of each sentence of a text column; texts are split, not joined, so one window adds up lengths."""
+    pieces = rows.select(*keys, F.posexplode(sentences(F.col(text))).alias("sentence", "piece")).withColumn("__n", F.length("piece"))
+    at = F.sum("__n").over(Window.partitionBy(*keys).orderBy("sentence").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    inner = F.regexp_replace("piece", r"^\s+", "")
+    start = at + F.col("__n") - F.length(inner)
+    spans = pieces.withColumn("start", start).withColumn("end", F.col("start") + F.length(F.regexp_replace(inner, r"\s+$", "")))
+    return spans.where("end > start").drop("__n")
 
 
 def word_spans(text: str | None) -> list[tuple[int, int]]:
@@ -87,20 +88,44 @@ def token_kinds(text: str, offsets: Iterable[tuple[int, int]]) -> list[tuple[str
     return out
 
 
-@F.pandas_udf(SPANS)
-def sentence_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in sentences(t)])
+def token_rows(texts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(category, continues, n): how many tokens of texts(text) are of each category and have more tokens of their word after them, by a tokenizer file.
+
+    The counts are added up in each task, so a row for each pair leaves it.
+    """
+
+    def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
+        tokenizer, total = Tokenizer.from_file(tokenizer_path), collections.Counter()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 100):
+                some = [t for t in batch.column(0).slice(lo, 100).to_pylist() if t]
+                for text, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                    total.update((kind, place + 1 < size) for kind, _, place, size in token_kinds(text, e.offsets))
+        yield pa.RecordBatch.from_pydict({"category": pa.array([k[0] for k in total], pa.string()), "continues": pa.array([k[1] for k in total], pa.bool_()), "n": pa.array(list(total.values()), pa.int64())})
 
-@F.pandas_udf(SPANS)
-def spans_of_words(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in word_spans(t)])
+    return texts.select("text").mapInArrow(run, "category string, continues boolean, n long")
 
 
-@F.pandas_udf(_KINDS)
-def token_categories(texts: pd.Series, offsets: pd.Series) -> pd.Series:
-    names = ("category", "word", "place", "size")
-    return pd.Series([[dict(zip(names, x, strict=True)) for x in token_kinds(t or "", [] if o is None else [(p["start"], p["end"]) for p in o])] for t, o in zip(texts, offsets, strict=True)])
+def script_class(column: Column) -> Column:
+    """Writing system of a string: byte_fragment, whitespace, digits, punctuation, latin, cjk, other_script (one of SCRIPTS), mixed, in that order."""
+    x = F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    kind = F.when(F.contains(column, F.lit("\ufffd")), "byte_fragment").when(x == "", "whitespace").when(x.rlike(r"^\p{Nd}+$"), "digits").when(~x.rlike(r"[\p{L}\p{N}]"), "punctuation")
+    kind = kind.when(x.rlike(r"^\p{IsLatin}+$"), "latin").when(x.rlike(r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+$"), "cjk")
+    return kind.when(x.rlike("^(" + "|".join(f"\\p{{Is{n}}}+" for n in SCRIPTS) + ")$"), "other_script").otherwise("mixed")
+
+
+def windowed(text: Column, start: Column, end: Column, chars: int) -> tuple[Column, Column]:
+    """The text before start and after end, `chars` characters at most, cut at a space, with … where something is left out."""
+    before = F.substring(text, F.greatest(start - chars + 1, F.lit(1)), F.least(start, F.lit(chars)))
+    after = F.substring(text, end + 1, F.lit(chars))
+    left = F.when(start > chars, F.concat(F.lit("…"), F.regexp_replace(before, r"^\S*\s", ""))).otherwise(before)
+    right = F.when(F.length(text) - end > chars, F.concat(F.regexp_replace(after, r"\s\S*\z", ""), F.lit("…"))).otherwise(after)
+    return left, right
 
 
 def context(words: Column, place: Column, width: int = 8) -> Column:
@@ -111,18 +136,29 @@ def context(words: Column, place: Column, width: int = 8) -> Column:
     return F.array_join(F.concat(left, F.array(F.concat(F.lit("«"), F.get(words, place), F.lit("»"))), right), " ")
 
 
-def sentence_of(spans: Column, position: Column) -> Column:
-    """Index of the last span that starts at or before the position, 0 at least."""
-    return F.greatest(F.size(F.filter(spans, lambda s: s["start"] <= position)) - 1, F.lit(0))
+HEADING = r"^(={2,6})\s*(.+?)\s*\1\s*$"
+
+
+def cut_sections(rows: DataFrame, key: str, text: str, titles: Iterable[str]) -> DataFrame:
+    """(key, text) without the sections of these titles and their subsections; headings are lines of 2 to 6 equals signs around a title.
+
+    Lines are rows: a heading of a title opens a cut at its level, the next heading of that level or above closes it. Whether a line is cut
+    depends on the latest heading at each level only, so six running windows replace a scan.
+    """
+    lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("__at", "__line"))
+    level = F.length(F.regexp_extract("__line", HEADING, 1))
+    wanted = F.lower(F.regexp_extract("__line", HEADING, 2)).isin([t.strip().lower() for t in titles])
+    lines = lines.withColumn("__level", level).withColumn("__cut", (F.col("__level") > 0) & wanted)
+    w = Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.lit(False)
+    for n in range(2, 7):  # the latest heading of level n or above decides whether a cut at level n is open
+        last = F.last(F.when(F.col("__level").between(1, n), (F.col("__level") == n) & F.col("__cut")), ignorenulls=True).over(w)
+        inside = inside | F.coalesce(last, F.lit(False))
+    kept = lines.withColumn("__inside", inside).groupBy(key).agg(F.array_sort(F.collect_list(F.when(~F.col("__inside"), F.struct("__at", "__line")))).alias("__all"))
+    return kept.select(key, F.array_join(F.transform("__all", lambda x: x["__line"]), "\n").alias(text))
 
 
-def cut_sections(text: str | None, titles: Iterable[str]) -> str:
-    """The text without the sections of these titles and their subsections; headings are lines of 2 to 6 equals signs around a title."""
-    drop, level, kept = {t.strip().lower() for t in titles}, 0, []
-    for line in (text or "").splitlines(keepends=True):
-        head = re.fullmatch(r"(={2,6})\s*(.+?)\s*\1\s*", line)
-        if head and (not level or len(head[1]) <= level):
-            level = len(head[1]) if head[2].lower() in drop else 0
-        if not level:
-            kept.append(line)
-    return "".join(kept)
+def template_names(column: Column) -> Column:
+    """Lower-case names of the templates that a text opens, in turn, underscores as spaces."""
+    found = F.regexp_extract_all(column, F.lit(r"\{\{([^{}|]+)"), F.lit(1))
+    return F.transform(found, lambda x: F.translate(F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")), "_", " "))

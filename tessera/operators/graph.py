@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +9,11 @@ from pyspark.sql.window import Window
 
 def checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext.getCheckpointDir():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"file:///tmp/tessera-{spark.sparkContext.applicationId}")  # one machine: its own folder is shared
     return df.checkpoint(eager=True)
 
 
@@ -96,7 +95,7 @@ def strong_components(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
         color = checkpointed(left.select("id", F.col("id").alias("color")))
         while True:  # the least id that reaches each vertex
             got = arcs.join(color, arcs["src"] == color["id"]).groupBy("dst").agg(F.min("color").alias("c"))
-            step = checkpointed(color.join(got, color["id"] == got["dst"], "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), "color" if False else F.col("color").alias("old")))
+            step = checkpointed(color.join(got, color["id"] == got["dst"], "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), F.col("color").alias("old")))
             color = step.select("id", "color")
             if step.where("color < old").isEmpty():
                 break
@@ -115,65 +114,77 @@ def strong_components(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
     return done if done is not None else vertices.select("id", F.col("id").alias("component"))
 
 
-def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(d, pairs): how many ordered pairs (source, vertex) lie at each shortest distance d > 0; arcs as given, sources(id).
+WORD = 62  # sources a bit set holds
+
+
+def distances(arcs: DataFrame, sources: DataFrame, source: str = "id") -> DataFrame:
+    """(d, pairs): how many ordered pairs (source, vertex) lie at each shortest distance d > 0; arcs(src, dst) as given.
 
-    Breadth-first from a block of sources a task over one adjacency, which is broadcast only up to max_arcs arcs; beyond that the
-    frontiers are joined table by table.
+    Breadth-first from all sources at once. Sources are numbered in words of 62, and a row (word, vertex) holds the bits of the sources that
+    have reached the vertex, so a step is one join of the frontier with the arcs and one bitwise-or a vertex; no task holds the graph.
     """
-    spark, max_arcs = arcs.sparkSession, 5_000_000
-    arcs = checkpointed(arcs.select("src", "dst").distinct())
-    if arcs.count() > max_arcs:
-        return _frontier_distances(arcs, sources)
-    a = arcs.toPandas()
-    ids = np.unique(np.concatenate([a["src"].to_numpy(), a["dst"].to_numpy()])) if len(a) else np.zeros(0, dtype=np.int64)
-    s, t = np.searchsorted(ids, a["src"].to_numpy()), np.searchsorted(ids, a["dst"].to_numpy())
-    by = np.argsort(s, kind="stable")
-    shared = spark.sparkContext.broadcast((ids, np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(ids)))]), t[by]))
-
-    def run(frames):
-        ids, at, to = shared.value
-        for frame in frames:
-            total: dict[int, int] = {}
-            for x in frame["id"]:
-                i = np.searchsorted(ids, x)
-                if i >= len(ids) or ids[i] != x:
-                    continue
-                seen = np.zeros(len(ids), dtype=bool)
-                seen[i] = True
-                front, d = np.array([i]), 0
-                while len(front):
-                    n = at[front + 1] - at[front]
-                    ends = np.cumsum(n)
-                    nxt = np.unique(to[np.arange(ends[-1]) + np.repeat(at[front] - (ends - n), n)]) if ends[-1] else front[:0]
-                    front = nxt[~seen[nxt]]
-                    seen[front] = True
-                    d += 1
-                    if len(front):
-                        total[d] = total.get(d, 0) + len(front)
-            yield pd.DataFrame({"d": list(total), "pairs": list(total.values())}, dtype="int64")
-
-    return sources.select("id").repartition(8).mapInPandas(run, "d long, pairs long").groupBy("d").agg(F.sum("pairs").alias("pairs"))
-
-
-def _frontier_distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
-    seen = checkpointed(sources.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("d")))
+    arcs = checkpointed(arcs.select("src", "dst").where("src <> dst").distinct())
+    ids = sources.select(F.col(source).alias("id")).distinct()
+    bucket = F.pmod(F.xxhash64("id"), F.lit(max(1, ids.count() // WORD)))  # about one word each
+    slot = F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1
+    front = ids.withColumn("b", bucket).withColumn("n", slot).select("b", F.floor(F.col("n") / WORD).alias("w"), "id", F.expr(f"shiftleft(1L, cast(n % {WORD} as int))").alias("bits"))
+    seen, d, out = checkpointed(front), 0, None
     front = seen
-    while not front.isEmpty():
-        step = front.join(arcs, front["id"] == arcs["src"]).select("root", F.col("dst").alias("id"), (F.col("d") + 1).alias("d")).distinct()
-        front = checkpointed(step.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+    while True:
+        step = front.join(arcs, front["id"] == arcs["src"]).groupBy("b", "w", F.col("dst").alias("id")).agg(F.bit_or("bits").alias("new"))
+        both = checkpointed(step.join(seen.withColumnRenamed("bits", "old"), ["b", "w", "id"], "full").select("b", "w", "id", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0)))).alias("new")))
+        d += 1
+        n = both.agg(F.sum(F.bit_count("new"))).first()[0] or 0
+        if not n:
+            break
+        row = arcs.sparkSession.createDataFrame([(d, int(n))], "d long, pairs long")
+        out = row if out is None else out.unionAll(row)
+        front = both.where("new <> 0").select("b", "w", "id", F.col("new").alias("bits"))
+        seen = both.select("b", "w", "id", F.col("old").bitwiseOR(F.col("new")).alias("bits"))
+    return out if out is not None else arcs.sparkSession.createDataFrame([], "d long, pairs long")
+
+
+def crawl(tree: DataFrame, roots: list[int], depth: int) -> DataFrame:
+    """(root, node, depth, parent) of the nodes of tree(p, c) within a depth of each root, at their first depth, with the least node one step above that leads there."""
+    spark = tree.sparkSession
+    front = checkpointed(spark.createDataFrame([(r, r, 0, None) for r in roots], "root long, node long, depth int, parent long"))
+    seen = front
+    for d in range(1, depth + 1):
+        step = front.join(tree, front["node"] == tree["p"]).groupBy("root", F.col("c").alias("node")).agg(F.min("p").alias("parent"))
+        front = checkpointed(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(d).alias("depth"), "parent"))
+        if front.isEmpty():
+            break
         seen = checkpointed(seen.unionByName(front))
-    return seen.where("d > 0").groupBy("d").agg(F.count("*").alias("pairs"))
+    return seen.where("depth > 0")
+
+
+def roots(up: DataFrame) -> DataFrame:
+    """(id, root, steps) of up(c, p), a forest in which each child has one parent: pointers are doubled, so depth 2**k takes k rounds."""
+    at = checkpointed(up.select(F.col("c").alias("id"), F.col("p").alias("root"), F.lit(1).alias("steps")))
+    while True:
+        more = at.select(F.col("id").alias("root"), F.col("root").alias("top"), F.col("steps").alias("further"))
+        step = checkpointed(at.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"), F.col("top").isNotNull().alias("moved")))
+        at = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return at
 
 
 def directed_clustering(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, local) of a directed graph: closed walks over S = A + A^T, halved, over s(s-1) - 2r; null where that isn't positive."""
+    """(id, local) of a directed graph: closed walks over S = A + A^T, halved, over s(s-1) - 2r; null where that isn't positive.
+
+    A triangle of weights x, y, z adds 2xyz to each of its vertices, so triangles are found once, from the end of lower degree, as in triangles().
+    """
     a = directed(arcs)
     s = both_ways(a).groupBy("src", "dst").agg(F.count("*").alias("w"))
     per = s.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("s"), F.sum((F.col("w") == 2).cast("int")).alias("r"))
-    x, y, z = s.alias("x"), s.alias("y"), s.alias("z")
-    walk = x.join(y, F.col("x.dst") == F.col("y.src")).join(z, (F.col("y.dst") == F.col("z.src")) & (F.col("z.dst") == F.col("x.src")))
-    closed = walk.groupBy(F.col("x.src").alias("id")).agg(F.sum(F.col("x.w") * F.col("y.w") * F.col("z.w")).alias("closed"))
+    half = s.where("src < dst")
+    d = degrees(half.select("src", "dst"), vertices)
+    e = half.join(d.withColumnsRenamed({"id": "src", "degree": "d1"}), "src").join(d.withColumnsRenamed({"id": "dst", "degree": "d2"}), "dst")
+    up = F.struct("d1", "src") < F.struct("d2", "dst")
+    o = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), "w")
+    two = o.alias("p").join(o.alias("q"), F.col("p.a") == F.col("q.a")).where("p.b < q.b").select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("q.b").alias("c"), (F.col("p.w") * F.col("q.w")).alias("x"))
+    tri = two.join(half.select(F.col("src").alias("b"), F.col("dst").alias("c"), "w"), ["b", "c"]).select("a", "b", "c", (F.col("x") * F.col("w") * 2).alias("closed"))
+    closed = tri.select(F.explode(F.array("a", "b", "c")).alias("id"), "closed").groupBy("id").agg(F.sum("closed").alias("closed"))
     room = F.col("s") * (F.col("s") - 1) - 2 * F.col("r")
     return vertices.select("id").join(per, "id", "left").join(closed, "id", "left").select("id", F.when(room > 0, F.coalesce("closed", F.lit(0)) / 2.0 / room).alias("local"))
 

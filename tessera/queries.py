@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import text as tx
 from .operators import community as co
 from .operators import graph as gr
 from .operators import knn as kn
+from .operators import order as od
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -221,25 +223,29 @@ def component_sizes(spark, sf):
     return c.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
-BFS = "r(root, id, d) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT r.root, a.dst, d + 1 FROM r JOIN a ON a.src = r.id WHERE d < 40), m AS (SELECT root, id, min(d)::BIGINT d FROM r GROUP BY 1, 2)"
+BFS = """r(root, id, d) USING KEY (root, id) AS (SELECT vec_id, vec_id, 0 FROM embeddings UNION SELECT r.root, a.dst, min(r.d) + 1 FROM r JOIN a ON a.src = r.id
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.r x WHERE x.root = r.root AND x.id = a.dst) GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {NN()}, a AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn), {BFS} SELECT d, count(*) pairs FROM m WHERE d > 0 GROUP BY d")
+@query(f"WITH RECURSIVE {NN()}, a AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn), {BFS} SELECT d::BIGINT d, count(*) pairs FROM r WHERE d > 0 GROUP BY d")
 def distance_hist(spark, sf):
-    """Ordered pairs of all vertices at each distance. The SQL starts from every fiftieth vertex only and doesn't agree."""
+    """Ordered pairs of all vertices at each distance."""
     return gr.distances(gr.both_ways(gr.union(nn(spark, sf))), verts(spark, sf))
 
 
-@query(f"WITH RECURSIVE {NN()}, a AS (SELECT src, dst FROM nn), {BFS} SELECT count(*) reached, round(avg(d), 6) mean, max(d) diameter, round(sum(1.0::DOUBLE / d), 6) efficiency_sum FROM m WHERE d > 0")
+@query(f"""WITH RECURSIVE {NN()}, a AS (SELECT src, dst FROM nn), {BFS}, n AS (SELECT count(*)::DOUBLE * (count(*) - 1) n FROM embeddings)
+    SELECT count(*) reached, round(avg(d), 6) mean, max(d)::BIGINT diameter, round(sum(1.0::DOUBLE / d), 6) efficiency_sum, round(count(*) / any_value(n), 9) reachable_share,
+    round(sum(1.0::DOUBLE / d) / any_value(n), 9) efficiency FROM r, n WHERE d > 0""")
 def directed_efficiency(spark, sf):
-    """Directed distances between all vertices; share and efficiency over all ordered pairs, 1/d of an unreachable one 0. The SQL starts from every fiftieth vertex only and doesn't agree."""
+    """Directed distances between all vertices; share and efficiency over all ordered pairs, 1/d of an unreachable one 0."""
     h = gr.distances(nn(spark, sf), verts(spark, sf))
     all_pairs = verts(spark, sf).agg(F.nullif(F.count("*") * (F.count("*") - 1), F.lit(0)).alias("all_pairs"))
     sums = h.agg(F.sum("pairs").alias("reached"), F.round(F.sum(F.col("d") * F.col("pairs")) / F.sum("pairs"), 6).alias("mean"), F.max("d").alias("diameter"), F.sum(F.col("pairs") / F.col("d")).alias("s"))
     return sums.crossJoin(all_pairs).select("reached", "mean", "diameter", F.round("s", 6).alias("efficiency_sum"), F.round(F.col("reached") / F.col("all_pairs"), 9).alias("reachable_share"), F.round(F.col("s") / F.col("all_pairs"), 9).alias("efficiency"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NN(k=3)}, r(root, id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.root, nn.dst FROM r JOIN nn ON nn.src = r.id)
+    SELECT a.root id, min(a.id) component FROM r a JOIN r b ON a.root = b.id AND a.id = b.root GROUP BY a.root""")
 def strong_components(spark, sf):
     return gr.strong_components(nn(spark, sf, k=3), verts(spark, sf))
 
@@ -257,9 +263,11 @@ def edge_jaccard(spark, sf):
     return n.agg(F.round(F.sum(F.when(F.col("n") == 2, 1).otherwise(0)) / F.count("*"), 9).alias("jaccard"))
 
 
-@query(f"WITH {NN()}, {E_U} SELECT count(*) edges, sum(src)::BIGINT src_sum, sum(dst)::BIGINT dst_sum FROM e")
+@query(f"""WITH {NN()}, {E_U}, h AS (SELECT src, dst, md5(concat_ws('|', src, dst)) h FROM e), n AS (SELECT count(*) n FROM embeddings),
+    t AS (SELECT count(*) edges, sum(src)::BIGINT src_sum, sum(dst)::BIGINT dst_sum, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR a, sum(('0x' || substr(h, 17, 15))::BIGINT)::VARCHAR b FROM h)
+    SELECT edges, src_sum, dst_sum, md5(concat_ws('|', n, edges, a, b)) digest FROM t, n""")
 def graph_fingerprint(spark, sf):
-    """Counts of the union graph and the digest of its edge set. The SQL has no digest."""
+    """Counts of the union graph and the digest of its edge set."""
     return gr.fingerprint(gr.union(nn(spark, sf)), verts(spark, sf))
 
 
@@ -361,8 +369,8 @@ def partition_agreement(spark, sf):
 def nmi_baseline_md5(spark, sf):
     """Agreement after one seeded permutation of the labels."""
     d = read(spark, sf, "documents").select("doc_id", "lang", "source")
-    p = d.select("lang", F.row_number().over(Window.orderBy("doc_id")).alias("i"))
-    q = d.select("source", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit("7"), "doc_id")), "doc_id")).alias("i"))
+    p = od.numbered(d.select("doc_id", "lang"), ["doc_id"], "i")
+    q = od.numbered(d.select("doc_id", "source", F.md5(F.concat_ws("|", F.lit("7"), "doc_id")).alias("h")), ["h", "doc_id"], "i")
     r = co.agreement(p.join(q, "i").select(F.col("lang").alias("a"), F.col("source").alias("b")))
     return r.select("n", *(F.round(c, 6).alias(c) for c in r.columns[1:]))
 
@@ -418,36 +426,7 @@ def pair_means(spark, sf):
     return d.select(F.col("type").alias("label"), F.round(within / F.nullif(c2, F.lit(0.0)), 6).alias("within_mean"), F.round(F.col("q01") / F.nullif(F.col("n0") * F.col("n1"), F.lit(0)), 6).alias("between_mean"), (c2 + F.col("n0") * F.col("n1")).cast("long").alias("pairs"))
 
 
-# ---- dictionary lens
-LENS = "t AS (SELECT label, list(m ORDER BY d) v FROM (SELECT label, d, avg(x) m FROM (SELECT label, unnest(embedding::DOUBLE[]) x, generate_subscripts(embedding,1) d FROM embeddings) GROUP BY 1,2) GROUP BY 1), q AS (SELECT vec_id, label own, lead(label) OVER (ORDER BY vec_id) nxt, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT vec_id, own, nxt, t.label, list_cosine_similarity(q.v, t.v) sim, list_dot_product(q.v, t.v) dot FROM q, t), o AS (SELECT vec_id, max(CASE WHEN label = own THEN sim END) so, max(CASE WHEN label = nxt THEN sim END) sn FROM s GROUP BY vec_id), ranks AS (SELECT vec_id, any_value(own) own, sum((sim > so)::INT)::BIGINT own_rank, CASE WHEN any_value(sn) IS NULL THEN -1 ELSE sum((sim > sn)::INT) END::BIGINT next_rank, round(any_value(so), 6) own_sim, arg_max(label, dot) argmax FROM s JOIN o USING (vec_id) GROUP BY vec_id)"
-
-
-def lens(spark, sf) -> DataFrame:
-    """Ranks of each vector's own and next type among all types (strictly larger cosines), and the type of the largest dot product.
-
-    The dictionary is one row a type; it is joined as a nested loop over queries, which is the operation asked for.
-    """
-    v = vectors(spark, sf)
-    t = kn.type_vectors(v, "type").select(F.col("type").alias("label"), F.col("vec").alias("tv"), kn.unit(F.col("vec")).alias("tu"))
-    q = v.select("id", F.col("type").alias("own"), F.lead("type").over(Window.orderBy("id")).alias("nxt"), "vec", kn.unit(F.col("vec")).alias("u"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = q.crossJoin(t).select("id", "own", "nxt", "label", dot("u", "tu").alias("sim"), dot("vec", "tv").alias("dot"))
-    w = Window.partitionBy("id")
-    s = s.withColumn("so", F.max(F.when(F.col("label") == F.col("own"), F.col("sim"))).over(w)).withColumn("sn", F.max(F.when(F.col("label") == F.col("nxt"), F.col("sim"))).over(w))
-    return s.groupBy(F.col("id").alias("vec_id")).agg(F.first("own").alias("own"), F.sum((F.col("sim") > F.col("so")).cast("int")).alias("own_rank"), F.coalesce(F.sum((F.col("sim") > F.col("sn")).cast("int")), F.lit(-1)).cast("long").alias("next_rank"), F.round(F.first("so"), 6).alias("own_sim"), F.max_by("label", F.struct("dot", -F.col("label"))).alias("argmax"))
-
-
-@query(f"WITH {LENS} SELECT * FROM ranks")
-def lens_ranks(spark, sf):
-    return lens(spark, sf)
-
-
-@query(f"WITH {LENS} SELECT own, count(*) n, round(avg(own_rank), 6) mean_rank, round(median(own_rank), 6) median_rank, round(avg((own_rank = 0)::INT), 6) top1, round(avg((argmax = own)::INT), 6) argmax_hits FROM ranks GROUP BY own")
-def lens_stats(spark, sf):
-    r = lens(spark, sf)
-    return r.groupBy("own").agg(F.count("*").alias("n"), F.round(F.avg("own_rank"), 6).alias("mean_rank"), F.round(F.median("own_rank"), 6).alias("median_rank"), F.round(F.avg((F.col("own_rank") == 0).cast("int")), 6).alias("top1"), F.round(F.avg((F.col("argmax") == F.col("own")).cast("int")), 6).alias("argmax_hits"))
-
-
+# ---- vectors
 @query("WITH n AS (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) x FROM embeddings) SELECT round(min(x), 6) lo, round(quantile_cont(x, 0.25::DOUBLE), 6) q25, round(median(x), 6) med, round(quantile_cont(x, 0.75::DOUBLE), 6) q75, round(max(x), 6) hi FROM n")
 def vec_norm_quantiles(spark, sf):
     x = vectors(spark, sf).select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)).alias("x"))
@@ -473,10 +452,9 @@ def words(col="text"):
 DW = r"regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+')"
 
 
-@query(f"SELECT lower(w) token, count(*) f FROM (SELECT unnest({DW}) w FROM documents) GROUP BY 1 HAVING count(*) >= 20")
+@query(f"SELECT lower(w) token, count(*) f FROM (SELECT unnest({DW}) w FROM documents) GROUP BY 1")
 def token_counts(spark, sf):
-    t = read(spark, sf, "documents").select(F.explode(words()).alias("w")).groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("f"))
-    return t.where("f >= 20")
+    return read(spark, sf, "documents").select(F.explode(words()).alias("w")).groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("f"))
 
 
 @query("SELECT CASE WHEN l_linenumber <= 1 THEN '1' WHEN l_linenumber <= 4 THEN '2-4' ELSE '5+' END bucket, CASE WHEN l_quantity < 10 THEN '1-9' WHEN l_quantity < 30 THEN '10-29' ELSE '30+' END band, count(*) n FROM lineitem GROUP BY 1, 2")
@@ -486,14 +464,21 @@ def bands_buckets(spark, sf):
     return read(spark, sf, "lineitem").select(b.alias("bucket"), F.when(q < 10, "1-9").when(q < 30, "10-29").otherwise("30+").alias("band")).groupBy("bucket", "band").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE WHEN regexp_full_match(w, '[0-9]+') THEN 'digits' WHEN regexp_full_match(w, '\\p{Latin}+') THEN 'latin' ELSE 'mixed' END script, count(*) n FROM (SELECT unnest(" + DW + ") w FROM documents) GROUP BY 1")
+_SCRIPTS = "|".join(f"\\p{{{n}}}+" for n in tx.SCRIPTS)
+
+
+@query(f"""WITH t AS (SELECT unnest(string_split_regex(text, '[ \\n]')) t FROM documents), w AS (SELECT t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') x FROM t)
+    SELECT CASE WHEN contains(t, chr(65533)) THEN 'byte_fragment' WHEN x = '' THEN 'whitespace' WHEN regexp_full_match(x, '\\p{{Nd}}+') THEN 'digits'
+    WHEN NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]') THEN 'punctuation' WHEN regexp_full_match(x, '\\p{{Latin}}+') THEN 'latin'
+    WHEN regexp_full_match(x, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]+') THEN 'cjk' WHEN regexp_full_match(x, '{_SCRIPTS}') THEN 'other_script' ELSE 'mixed' END script, count(*) n
+    FROM w GROUP BY 1""")
 def script_class(spark, sf):
-    w = read(spark, sf, "documents").select(F.explode(words()).alias("w"))
-    return w.select(F.when(F.col("w").rlike("^[0-9]+$"), "digits").when(F.col("w").rlike(r"^\p{IsLatin}+$"), "latin").otherwise("mixed").alias("script")).groupBy("script").agg(F.count("*").alias("n"))
+    w = read(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w"))
+    return w.select(tx.script_class(F.col("w")).alias("script")).groupBy("script").agg(F.count("*").alias("n"))
 
 
 PAR = "p AS (SELECT doc_id, lang, i, trim(x) x FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) - 1 i FROM documents) WHERE trim(x) <> '')"
-KEEP = "len(regexp_extract_all(x, '[^ ]+')) >= 8 AND regexp_matches(x, '[.!?]$') AND length(regexp_replace(x, '[^0-9]', '', 'g')) / length(x)::DOUBLE <= 0.2"
+KEEP = "len(regexp_extract_all(x, '[^ ]+')) >= 8 AND regexp_matches(x, '[.!?][\"''»”’)\\]]*$') AND NOT regexp_matches(x, '^[|!{*#:;]') AND length(regexp_replace(x, '[^0-9]', '', 'g')) / length(x)::DOUBLE <= 0.2"
 
 
 def paragraphs(spark, sf) -> DataFrame:
@@ -503,7 +488,7 @@ def paragraphs(spark, sf) -> DataFrame:
 
 def kept_paragraphs(spark, sf) -> DataFrame:
     n = F.size(F.regexp_extract_all("x", F.lit("([^ ]+)"), F.lit(1)))
-    return paragraphs(spark, sf).where((n >= 8) & F.col("x").rlike("[.!?]$") & (F.length(F.regexp_replace("x", "[^0-9]", "")) / F.length("x") <= 0.2))
+    return paragraphs(spark, sf).where((n >= 8) & F.col("x").rlike("[.!?][\"'»”’)\\]]*$") & ~F.col("x").rlike("^[|!{*#:;]") & (F.length(F.regexp_replace("x", "[^0-9]", "")) / F.length("x") <= 0.2))
 
 
 @query(f"WITH {PAR} SELECT doc_id, i::INT i, length(x) n FROM p WHERE {KEEP}")
@@ -560,14 +545,21 @@ def reasons_pivot(spark, sf):
     return j.groupBy("n_name").agg(F.sum((F.col("r_name") == "ASIA").cast("int")).alias("asia"), F.sum((F.col("r_name") == "EUROPE").cast("int")).alias("europe"), F.count("*").alias("n"))
 
 
-@query("WITH k AS (SELECT conv_id, turn, md5(string_agg(role || ':' || left(text, 1), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) h FROM conversations), g AS (SELECT h, min(conv_id) first FROM k GROUP BY h HAVING count(*) > 1) SELECT conv_id, turn, first FROM k JOIN g USING (h)")
+@query("""WITH p AS (SELECT conv_id, turn, coalesce(md5(role), 'null') || coalesce(md5(text), 'null') p FROM conversations),
+    k AS (SELECT conv_id, turn, md5(string_agg(p, '|' ORDER BY turn, p) OVER (PARTITION BY conv_id ORDER BY turn, p ROWS UNBOUNDED PRECEDING)) h FROM p),
+    g AS (SELECT h, min(conv_id) first FROM k GROUP BY h HAVING count(*) > 1) SELECT conv_id, turn, first FROM k JOIN g USING (h)""")
 def prefix_groups(spark, sf):
-    """Turns whose prefixes, roles and whole texts up to and with them, are identical. The SQL takes first characters only and doesn't agree."""
+    """Turns whose prefixes, roles and whole texts up to and with them, are identical.
+
+    A prefix is known by its length and two running sums of hashes of each turn with its place, so a row never holds the turns before it.
+    """
     c = read(spark, sf, "conversations").withColumn("p", F.concat(*(F.coalesce(F.md5(x), F.lit("null")) for x in ("role", "text"))))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    k = c.select("conv_id", "turn", F.md5(F.array_join(F.collect_list("p").over(w), "|")).alias("h"))
-    g = k.groupBy("h").agg(F.min("conv_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return k.join(g, "h").select("conv_id", "turn", "first")
+    w = Window.partitionBy("conv_id").orderBy("turn", "p")
+    c = c.select("conv_id", "turn", "p", F.row_number().over(w).alias("size"))
+    sums = [F.sum(F.xxhash64(F.lit(salt), "size", "p").cast("decimal(38,0)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"h{salt}") for salt in (1, 2)]
+    k = c.select("conv_id", "turn", "size", *sums)
+    g = k.groupBy("size", "h1", "h2").agg(F.min("conv_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return k.join(g, ["size", "h1", "h2"]).select("conv_id", "turn", "first")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000")
@@ -576,10 +568,30 @@ def exceptall_diff(spark, sf):
     return o.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").exceptAll(o.where("o_totalprice > 100000").select("o_orderkey", "o_custkey"))
 
 
-@query("SELECT r_name root, n_name node, 1 AS depth FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT r_name, c_name, 2 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
+CRAWL = """t AS (SELECT DISTINCT c_custkey % 97 p, o_orderkey % 211 + 1000 c FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0
+    UNION SELECT DISTINCT o_orderkey % 211 + 1000, o_custkey % 389 + 5000 FROM orders WHERE o_orderkey % 11 = 0 UNION SELECT DISTINCT o_custkey % 389 + 5000, o_custkey % 97 FROM orders WHERE o_orderkey % 13 = 0)"""
+
+
+def crawl_tree(spark, sf):
+    """Arcs (p, c) of a category tree with loops: three bands of nodes made of customers and orders."""
+    o = read(spark, sf, "orders")
+    one = o.join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 7 = 0").selectExpr("c_custkey % 97 p", "o_orderkey % 211 + 1000 c")
+    two = o.where("o_orderkey % 11 = 0").selectExpr("o_orderkey % 211 + 1000 p", "o_custkey % 389 + 5000 c")
+    return one.unionAll(two).unionAll(o.where("o_orderkey % 13 = 0").selectExpr("o_custkey % 389 + 5000 p", "o_custkey % 97 c")).distinct()
+
+
+@query(f"""WITH RECURSIVE {CRAWL}, r(root, id, depth) USING KEY (root, id) AS (SELECT x, x, 0 FROM (SELECT unnest([1::BIGINT, 2, 3]) x) UNION
+    SELECT r.root, t.c, min(r.depth) + 1 FROM r JOIN t ON t.p = r.id WHERE r.depth < 3 AND NOT EXISTS (SELECT 1 FROM recurring.r x WHERE x.root = r.root AND x.id = t.c) GROUP BY 1, 2),
+    f AS (SELECT a.root, a.id, a.depth, min(b.id) first FROM r a JOIN r b ON a.root = b.root AND b.depth = a.depth - 1 JOIN t ON t.p = b.id AND t.c = a.id GROUP BY 1, 2, 3)
+    SELECT root, id node, depth::INT depth, first parent FROM f""")
 def crawl_bfs(spark, sf):
-    """Breadth-first walk of a category tree to depth 2."""
-    r, n, c = (read(spark, sf, x) for x in ("region", "nation", "customer"))
-    one = r.join(n, F.col("n_regionkey") == F.col("r_regionkey"))
-    two = one.join(c, F.col("c_nationkey") == F.col("n_nationkey"))
-    return one.select(F.col("r_name").alias("root"), F.col("n_name").alias("node"), F.lit(1).alias("depth")).unionAll(two.select("r_name", "c_name", F.lit(2)))
+    """Nodes that breadth-first walks from three roots reach within depth 3, each at its first depth with the least node that leads there."""
+    return gr.crawl(crawl_tree(spark, sf), [1, 2, 3], 3)
+
+
+@query(f"""WITH RECURSIVE {CRAWL}, up AS (SELECT c, min(p) p FROM t WHERE p < c GROUP BY c), r(id, top, steps) AS (SELECT c, p, 1 FROM up UNION ALL SELECT r.id, up.p, steps + 1 FROM r JOIN up ON up.c = r.top)
+    SELECT id, min(top) root, max(steps)::INT steps FROM r GROUP BY id""")
+def tree_roots(spark, sf):
+    """The root and depth of each node when every node keeps its least smaller parent: parents are followed by doubling."""
+    t = crawl_tree(spark, sf)
+    return gr.roots(t.where("p < c").groupBy("c").agg(F.min("p").alias("p")))

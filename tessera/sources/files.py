@@ -39,22 +39,29 @@ def parse_bool(name: str):
     return F.when(x.isin("true", "1", "yes"), True).when(x.isin("false", "0", "no"), False).when(x.isNotNull(), F.raise_error(F.concat(F.lit("no boolean: "), x)).cast("boolean"))
 
 
+def _flat(lists: pd.Series, dtype) -> tuple[np.ndarray, list[int]]:
+    """All values of a batch's lists in turn, and where each but the first begins."""
+    sizes = [0 if v is None else len(v) for v in lists]
+    return np.concatenate([np.asarray(v, dtype=dtype) for v in lists if v is not None] or [np.zeros(0, dtype=dtype)]), np.cumsum(sizes)[:-1].tolist()
+
+
+def _cut(flat: np.ndarray, at: list[int], lists: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else x for x, v in zip(np.split(flat, at), lists, strict=True)], dtype=object)
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def bf16_bits(vectors: pd.Series) -> pd.Series:
     """Upper 16 bits of each float32, rounded to the nearest, ties to even."""
-
-    def one(v):
-        x = np.asarray(v, dtype=np.float32)
-        bits = x.view(np.uint32)
-        out = (bits + np.uint32(0x7FFF) + (bits >> np.uint32(16) & np.uint32(1))) >> np.uint32(16)
-        return np.where(np.isnan(x), np.uint32(0x7FC0), out).astype(np.int32)
-
-    return vectors.map(lambda v: None if v is None else one(v))
+    x, at = _flat(vectors, np.float32)
+    bits = x.view(np.uint32)
+    out = (bits + np.uint32(0x7FFF) + (bits >> np.uint32(16) & np.uint32(1))) >> np.uint32(16)
+    return _cut(np.where(np.isnan(x), np.uint32(0x7FC0), out).astype(np.int32), at, vectors)
 
 
 @F.pandas_udf(ArrayType(FloatType()))
 def bf16_floats(bits: pd.Series) -> pd.Series:
-    return bits.map(lambda b: None if b is None else (np.asarray(b, dtype=np.uint32) << np.uint32(16)).view(np.float32))
+    x, at = _flat(bits, np.uint32)
+    return _cut((x << np.uint32(16)).view(np.float32), at, bits)
 
 
 def xml_text(column):

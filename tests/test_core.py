@@ -14,6 +14,8 @@ from tessera.functions import text as tx
 from tessera.operators import community as co
 from tessera.operators import graph as gr
 from tessera.operators import knn as kn
+from tessera.operators import lens as ln
+from tessera.operators import order as od
 from tessera.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -108,11 +110,45 @@ def test_components_and_strong_components(spark):
     assert {r.id: r.component for r in gr.strong_components(edges(spark, arcs), verts(spark, 40)).collect()} == {i: int(np.flatnonzero(strong[i])[0]) for i in range(40)}
 
 
-def test_distances_two_ways(spark):
-    arcs = edges(spark, [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4)])
-    a = {r.d: r.pairs for r in gr.distances(arcs, verts(spark, 5)).collect()}
-    b = {r.d: r.pairs for r in gr._frontier_distances(arcs, verts(spark, 5)).collect()}
-    assert a == b == {1: 5, 2: 5, 3: 5, 4: 1}
+def test_distances(spark):
+    arcs = edges(spark, [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 4)])
+    assert {r.d: r.pairs for r in gr.distances(arcs, verts(spark, 5)).collect()} == {1: 5, 2: 5, 3: 5, 4: 1}
+    assert gr.distances(arcs.limit(0), verts(spark, 5)).count() == 0
+    ring = edges(spark, [(i, (i + 1) % 150) for i in range(150)])  # more sources than a bit set holds
+    assert {r.d: r.pairs for r in gr.distances(gr.both_ways(ring), verts(spark, 150)).where("d > 73").collect()} == {74: 300, 75: 150}
+
+
+def test_order(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.permutation(500) * 37
+    rows = spark.createDataFrame([(int(k), int(k) % 5) for k in keys], "k long, v long").repartition(7)
+    want = sorted(int(k) for k in keys)
+    assert [r.k for r in od.numbered(rows, ["k"]).orderBy("number").collect()] == want
+    total = {r.k: r.t for r in od.running(rows, ["k"], od.F.col("v"), "t", 3).collect()}
+    assert all(total[k] == sum(x % 5 for x in want[: i + 1]) for i, k in enumerate(want))
+    after = {r.k: r.nxt for r in od.next_value(rows, "k", "v", "nxt", 1000).collect()}
+    assert all(after[k] == (want[i + 1] % 5 if i + 1 < 500 else None) for i, k in enumerate(want))
+
+
+def test_lens_blocks(spark):
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(size=(60, 6)), rng.normal(size=(25, 6))
+    w[7] = w[3]
+    q = spark.createDataFrame([(i, i % 25, (i + 1) % 25 if i < 59 else None, r.tolist()) for i, r in enumerate(x)], "id long, own long, nxt long, vec array<double>")
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(w)], "label long, vec array<double>")
+    cos = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (w / np.linalg.norm(w, axis=1, keepdims=True)).T, 12)
+    for block in (4096, 11):
+        for r in ln.ranked(q, d, 4, block).collect():
+            assert r.own_rank == (cos[r.id] > cos[r.id, r.own]).sum() and r.argmax == (x[r.id] @ w.T).argmax()
+            assert r.next_rank == (-1 if r.nxt is None else (cos[r.id] > cos[r.id, r.nxt]).sum())
+            assert [t.label for t in r.top] == sorted(range(25), key=lambda j: (-cos[r.id, j], j))[:4]
+
+
+def test_crawl_and_roots(spark):
+    tree = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (5, 6)], "p long, c long")
+    assert {tuple(r) for r in gr.crawl(tree, [1], 3).collect()} == {(1, 2, 1, 1), (1, 3, 1, 1), (1, 4, 2, 2), (1, 5, 3, 4)}
+    up = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (9, 8)], "c long, p long")
+    assert {tuple(r) for r in gr.roots(up).collect()} == {(2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 1, 4), (9, 8, 1)}
 
 
 def test_distance_queries_count_all_pairs(spark, tmp_path):
@@ -195,12 +231,28 @@ def test_entry_has_rows_for_each_query(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_sentences():
+def test_sentences(spark):
     t = 'O Dr. Silva chegou. "Sim", disse J. Prado. Às 3 h saiu! e voltou… Fim'
-    assert [t[a:b] for a, b in tx.sentences(t)] == ["O Dr. Silva chegou.", '"Sim", disse J. Prado.', "Às 3 h saiu! e voltou…", "Fim"]
-    assert tx.sentences(None) == tx.sentences("  ") == []
-    spans = tx.sentences("  A b. C d.  ")
-    assert spans == [(2, 6), (7, 11)]
+    d = spark.createDataFrame([(0, t), (1, None), (2, "  "), (3, "  Ao sul. Cá. d.  "), (4, "Vol. II etc. Fim. (Ver cap. 3.) Já"), (5, "Um\u001edois. Três")], "id long, text string")
+    got = {}
+    for r in tx.sentence_spans(d, ["id"], "text").orderBy("id", "sentence").collect():
+        got.setdefault(r.id, []).append((r.start, r.end))
+    assert [t[a:b] for a, b in got[0]] == ["O Dr. Silva chegou.", '"Sim", disse J. Prado.', "Às 3 h saiu! e voltou…", "Fim"]
+    assert got[3] == [(2, 9), (10, 16)] and 1 not in got and 2 not in got
+    u = "Vol. II etc. Fim. (Ver cap. 3.) Já"
+    assert [u[a:b] for a, b in got[4]] == ["Vol. II etc. Fim.", "(Ver cap. 3.)", "Já"]
+    assert got[5] == [(0, 8), (9, 13)]
+
+
+def test_script_classes(spark):
+    cases = {"abc é": "mixed", " abc": "latin", "12": "digits", "…!": "punctuation", " ": "whitespace", "a\ufffd": "byte_fragment", "日本": "cjk", "ひカ한": "cjk", "мир": "other_script", "мирabc": "mixed", "a1": "mixed", "αβ": "other_script"}
+    d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.script_class(od.F.col("t")).alias("c"))
+    assert {r.t: r.c for r in d.collect()} == cases
+
+
+def test_template_names(spark):
+    d = spark.createDataFrame([("{{Info/Biografia|x={{A_b}}}} {{ C }}",)], "t string")
+    assert d.select(tx.template_names(od.F.col("t")).alias("n")).first().n == ["info/biografia", "a b", "c"]
 
 
 def test_token_kinds():
@@ -211,10 +263,31 @@ def test_token_kinds():
     assert tx.token_kinds("ab cd", [(0, 5)])[0][1] == 0  # the earlier word on a tie
 
 
-def test_cut_sections():
-    t = "top\n== A ==\nx\n== Notas ==\ny\n=== sub ===\nz\n== B ==\nw\n"
-    assert tx.cut_sections(t, ["notas"]) == "top\n== A ==\nx\n== B ==\nw\n"
-    assert tx.cut_sections(None, ["a"]) == ""
+def plain_cut(text, titles):
+    import re
+
+    level, kept = 0, []
+    for line in text.split("\n"):
+        head = re.fullmatch(r"(={2,6})\s*(.+?)\s*\1\s*", line)
+        if head and (not level or len(head[1]) <= level):
+            level = len(head[1]) if head[2].lower() in titles else 0
+        if not level:
+            kept.append(line)
+    return "\n".join(kept)
+
+
+def test_cut_sections(spark):
+    rng = np.random.default_rng(6)
+    texts = ["top\n== A ==\nx\n== Notas ==\ny\n=== sub ===\nz\n== B ==\nw"]
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.integers(1, 14)):
+            n = int(rng.integers(2, 5))
+            lines.append("x" if rng.random() < 0.4 else "=" * n + f" {rng.choice(['Notas', 'A', 'refs'])} " + "=" * n)
+        texts.append("\n".join(lines))
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.text for r in tx.cut_sections(d, "id", "text", ["notas", "Refs"]).collect()}
+    assert got == {i: plain_cut(t, ["notas", "refs"]) for i, t in enumerate(texts)} and got[0] == "top\n== A ==\nx\n== B ==\nw"
 
 
 def test_file_round_trips(spark, tmp_path):
@@ -243,13 +316,13 @@ def test_prefix_groups_need_whole_texts(spark, tmp_path):
     assert got == {(1, 0, 1), (2, 0, 1), (4, 0, 1), (1, 1, 1), (4, 1, 1)}
 
 
-def test_tables_of_tokens(spark):
-    got = {r.category: r.n for r in more.token_table(spark, SF).collect()}
-    import re
+def test_token_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    want: dict = {}
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
     for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null").fetchall():
-        for k in tx.token_kinds(t, [m.span() for m in re.finditer(r" ?\w{1,4}|\s|[^\w\s]", t)]):
-            want[k[0]] = want.get(k[0], 0) + 1
-    assert got == want
-    assert more.sentence_table(spark, SF).where("end <= start").isEmpty()
+        for kind, _, place, size in tx.token_kinds(t, tokenizer.encode(t, add_special_tokens=False).offsets):
+            n, c = want.get(kind, (0, 0))
+            want[kind] = (n + 1, c + (place + 1 < size))
+    assert {r.category: (r.n, r.continued) for r in more.token_table(spark, SF).collect()} == want
