@@ -162,3 +162,16 @@ def template_names(column: Column) -> Column:
     """Lower-case names of the templates that a text opens, in turn, underscores as spaces."""
     found = F.regexp_extract_all(column, F.lit(r"\{\{([^{}|]+)"), F.lit(1))
     return F.transform(found, lambda x: F.translate(F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")), "_", " "))
+
+
+def band_label(value: Column, bands: list[tuple[int, int]], open_top: bool = False) -> Column:
+    """'low-high', or 'low' where they are equal, of the band that holds a value; the last is 'low+' with open_top. Bands must join from 1 on; a value outside all is an error."""
+    if not bands or bands[0][0] != 1 or any(hi < lo for lo, hi in bands) or any(b[0] != a[1] + 1 for a, b in zip(bands[:-1], bands[1:], strict=True)):
+        raise ValueError(f"bands must be joined intervals from 1, not {bands}")
+    out = None
+    for i, (lo, hi) in enumerate(bands):
+        top = open_top and i == len(bands) - 1
+        inside = (value >= lo) if top else value.between(lo, hi)
+        name = f"{lo}+" if top else f"{lo}" if lo == hi else f"{lo}-{hi}"
+        out = F.when(inside, name) if out is None else out.when(inside, name)
+    return out.otherwise(F.raise_error(F.concat(F.lit("outside the bands: "), value.cast("string"))))

@@ -138,3 +138,16 @@ def communities(graphs: DataFrame, resolution: float = 1.0, seeds: int = 3, meth
 
     fan = graphs.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     return fan.groupBy("graph_id", "seed").applyInPandas(run, "graph_id string, seed int, id long, community long")
+
+
+def grouped_nmi(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, nmi) of pairs(keys, a, b), for each group of the keys; both sides constant: 1, one: 0. Rows with a null or empty label don't count."""
+    ok = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    c = pairs.where(ok("a") & ok("b")).groupBy(*keys, "a", "b").agg(F.count("*").cast("double").alias("n"))
+    part = lambda df, s, name: df.groupBy(*keys).agg(F.sum(F.col(s) * F.log(s)).alias(f"l{name}"), F.count("*").alias(f"c{name}"))
+    side = lambda k: part(c.groupBy(*keys, k).agg(F.sum("n").alias("s")), "s", k)
+    n = c.groupBy(*keys).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("lab"))
+    x = n.join(side("a"), keys).join(side("b"), keys)
+    ha, hb, hab = (F.log("t") - F.col(k) / F.col("t") for k in ("la", "lb", "lab"))
+    nmi = F.when((F.col("ca") == 1) & (F.col("cb") == 1), 1.0).when((F.col("ca") == 1) | (F.col("cb") == 1), 0.0).otherwise(2 * (ha + hb - hab) / F.nullif(ha + hb, F.lit(0.0)))
+    return x.select(*keys, F.col("t").cast("long").alias("n"), nmi.alias("nmi"))

@@ -196,3 +196,28 @@ def assortativity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     squares = e.groupBy("a").agg(F.sum("n").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("sq"))
     m = F.col("m").cast("double")
     return total.crossJoin(squares).select(((F.col("same") / m - F.col("sq") / m / m) / F.nullif(1 - F.col("sq") / m / m, F.lit(0.0))).alias("assortativity"), (F.col("same") / m).alias("same_share"))
+
+
+def farthest(arcs: DataFrame, start: int) -> tuple[int, int]:
+    """(distance, least vertex at that distance) of the vertex farthest from a start."""
+    seen = checkpointed(arcs.sparkSession.createDataFrame([(start,)], "id long"))
+    front, d, last = seen, 0, start
+    while True:
+        step = front.join(arcs, front["id"] == arcs["src"]).select(F.col("dst").alias("id")).distinct()
+        front = checkpointed(step.join(seen, "id", "left_anti"))
+        least = front.agg(F.min("id")).first()[0]
+        if least is None:
+            return d, last
+        d, last = d + 1, least
+        seen = checkpointed(seen.unionAll(front))
+
+
+def double_sweep(arcs: DataFrame, start: int, rounds: int = 10) -> DataFrame:
+    """(bound): the largest distance met by going from a start to a farthest vertex and on from there, until it no longer grows."""
+    best, at = 0, start
+    for _ in range(rounds):
+        d, at = farthest(arcs, at)
+        if d <= best:
+            break
+        best = d
+    return arcs.sparkSession.createDataFrame([(best,)], "bound long")

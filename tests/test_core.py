@@ -16,6 +16,7 @@ from tessera.operators import graph as gr
 from tessera.operators import knn as kn
 from tessera.operators import lens as ln
 from tessera.operators import order as od
+from tessera.plans import graphs as plan
 from tessera.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -250,6 +251,41 @@ def test_script_classes(spark):
     assert {r.t: r.c for r in d.collect()} == cases
 
 
+def test_bands(spark):
+    d = spark.createDataFrame([(v,) for v in (1, 2, 3, 9, 50)], "v long")
+    got = [r.b for r in d.select(tx.band_label(od.F.col("v"), [(1, 2), (3, 3), (4, 20)], open_top=True).alias("b")).collect()]
+    assert got == ["1-2", "1-2", "3", "4+", "4+"]
+    with pytest.raises(Exception, match="outside the bands"):
+        d.select(tx.band_label(od.F.col("v"), [(1, 2), (3, 20)])).collect()
+    with pytest.raises(ValueError, match="joined intervals"):
+        tx.band_label(od.F.col("v"), [(1, 2), (4, 5)])
+
+
+def test_plans(spark):
+    specs = plan.graph_specs([("a", [5, 10]), ("a", [10])], ["union"], ["position", "random"], seeds=2)
+    assert [s.graph_id for s in specs] == ["a|5|position", "a|5|random|0", "a|5|random|1", "a|10|position", "a|10|random|0", "a|10|random|1"]
+    assert plan.closest_k([5, 15], 10) == 5 and plan.closest_k([], 3) is None
+    e = {("a", 5): edges(spark, [(0, 1), (2, 3)]), ("a", 10): edges(spark, [(2, 3), (0, 1)])}
+    assert {r.canonical for r in plan.canonical(specs, e).collect()} == {"a|5|position"}
+    x = dyadic(30, 5)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    sets = plan.neighbor_sets(kn.candidates(v, 4), [2, 4], ["position", "random"], 2).toPandas()
+    assert {(r.src, r.dst) for r in sets[(sets.k == 4) & (sets.tie == "position")].itertuples()} == brute(x, 4, 1e-6, "position")
+    assert len(sets) == 30 * (2 + 4) * 3
+
+
+def test_double_sweep(spark):
+    path = edges(spark, [(i, i + 1) for i in range(9)] + [(4, 20)])
+    assert gr.double_sweep(gr.both_ways(path), 4).first().bound == 9
+    assert gr.double_sweep(gr.both_ways(path), 77).first().bound == 0
+
+
+def test_grouped_nmi(spark):
+    rows = [("x", 1, 1), ("x", 2, 2), ("x", 2, 2), ("y", 1, 1), ("y", 1, 2), ("z", 1, 1)]
+    got = {r.k: (r.n, round(r.nmi, 6)) for r in co.grouped_nmi(spark.createDataFrame(rows, "k string, a int, b int"), ["k"]).collect()}
+    assert got == {"x": (3, 1.0), "y": (2, 0.0), "z": (1, 1.0)}
+
+
 def test_template_names(spark):
     d = spark.createDataFrame([("{{Info/Biografia|x={{A_b}}}} {{ C }}",)], "t string")
     assert d.select(tx.template_names(od.F.col("t")).alias("n")).first().n == ["info/biografia", "a b", "c"]
