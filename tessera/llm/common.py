@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,14 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: the session's spark.checkpoint.dir, or, only where that is unset, a local one."""
+    """The folder that the driver and all executors see: the session's spark.checkpoint.dir. Only where one machine does all the work and it is unset, a local folder of the application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file:///tmp/tessera-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def fresh_name(base: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -47,18 +57,21 @@ def fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold_count: int, held_out: int, per_class: int):
-    """At most per_class labelled rows of each class, chosen by a hash of the id, as (texts, labels) on the driver.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold_count: int, held_out: int, per_class: int, max_chars: int):
+    """At most per_class labelled texts of at most max_chars characters of each class, chosen by a hash of the id, as (texts, labels) on the driver.
 
-    Rows of the held-out fold, rows without an id, label or text never enter. The sample's size doesn't depend on the tables' sizes.
+    Rows of the held-out fold, rows without an id, label or text and ids with both labels never enter. An id counts once, with its least
+    text, so the sample has 2 * per_class * max_chars characters at most, whatever the tables hold.
     """
     rows = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1)).where(fold("__id", fold_count) != held_out)
-    docs = documents.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text")).where(F.col("__text").isNotNull())
+    rows = rows.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most")
     chosen = None
     for value in (0, 1):
-        part = rows.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+        part = rows.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(per_class).select("__id", "__label")
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = docs.join(F.broadcast(chosen), docs["__doc"] == chosen["__id"]).select("__id", "__text", "__label").collect()
+    docs = documents.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= max_chars))
+    found = docs.join(F.broadcast(chosen), docs["__doc"] == chosen["__id"])  # 2 * per_class ids at most
+    got = found.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).select("__id", "__text", "__label").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2]))
     return [r[1] for r in got], np.array([r[2] for r in got], dtype=np.float64)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, span_hashes
+from .common import cut, fresh_name, span_hashes
 
 # Units that count as one placeholder after a number.
 UNITS = (
@@ -186,5 +186,6 @@ def _lengths(p: DecontaminationParams):
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """The rows of documents, all columns, that match no item; rows with a null id or text stay."""
-    bad = contaminated(documents, benchmark, params).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    name = fresh_name("__bad", documents)
+    bad = contaminated(documents, benchmark, params).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(bad, documents["doc_id"] == bad[name], "left_anti")

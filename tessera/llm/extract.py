@@ -74,10 +74,13 @@ class Dom:
             names = set()
             for k, v in t.attrs[i]:
                 if k in ("class", "id", "role", "itemprop", "aria-label") and v:
-                    names.update("n:" + w for w in _WORD.findall(v.lower())[:12])
+                    names.update("n:" + w for w in _WORD.findall(v.lower()))
                 elif k in ("hidden",) or (k == "style" and v and "display:none" in v.replace(" ", "")):
                     names.add("n:hidden")
-            around = (within[p] if p >= 0 else frozenset()) | ({"in:" + tag} if tag in SECTIONS else frozenset()) | {"u" + x for x in names}
+            around = within[p] if p >= 0 else frozenset()
+            more = {"u" + x for x in names} | ({"in:" + tag} if tag in SECTIONS else set())
+            if not more <= around:  # else the parent's set serves
+                around = around | more
             within.append(around)
             size = total[i]
             f = ["bias", "t:" + tag, *names, *around, f"len:{min(9, size.bit_length())}", f"link:{4 * in_links[i] // size if size else 5}", f"end:{min(3, ends[i])}"]

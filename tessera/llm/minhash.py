@@ -91,12 +91,16 @@ def _sketch(p: MinHashParams):
 
 
 def _sets(words: int):
+    """fp1, fp2, n_shingles and members of each text's set; empty sets give none."""
+
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(np.concatenate(sets), [len(s) for s in sets])], ["id", "members"])
+                sets = [s for t in batch.column(1).slice(start, 1000).to_pylist() if len(s := shingle_set(t, words))]
+                sums = [[s.sum(dtype=np.uint64) for s in sets], [mix(s).sum(dtype=np.uint64) for s in sets]]
+                cols = [pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in sums]
+                size = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(size, pa.int64()), _lists(np.concatenate([np.zeros(0, dtype=np.int64), *(s.view(np.int64) for s in sets)]), size)], ["fp1", "fp2", "n_shingles", "members"])
 
     return run
 
@@ -176,21 +180,24 @@ def near_duplicates(documents: DataFrame, params: MinHashParams = MinHashParams(
     """doc_id, n_shingles, component_id, kept of each row of documents(doc_id, text, ...).
 
     Words are runs of bytes other than space, tab, line breaks and form feeds, A-Z lowered; sets hold 64-bit hashes of shingles. Texts
-    without words and null texts have the empty set, link with nothing and keep their own id. Repeated rows are one set and give a row
-    each; rows with a null id stay alone with a null component and are kept. Columns other than doc_id and text aren't read.
-
-    Equal sets are one class, found by a partial aggregate, so a group of copies costs one row a task. Classes meet in band buckets; a
-    large bucket is compared with its least id first, then its sets outside its largest component with all its sets, in blocks, so
-    no pair that could still join two components is left out. All tables stay distributed.
+    without words and null texts have the empty set, link with nothing and keep their own id. Repeated rows give a row each. Rows with one
+    id are one document: its texts are in one component. Rows with a null id stay alone with a null component and are kept. Columns
+    other than doc_id and text aren't read.
+
+    Equal sets, told by two 64-bit sums over all their members and their size, are one class, found by a partial aggregate, so a group of
+    copies costs one row a task. Classes meet in band buckets; a large bucket is compared with its least class first, then its classes outside
+    its largest component with all its classes, in blocks, so no pair that could still join two components is left out. Links between
+    classes are confirmed on full sets. All tables stay distributed; of classes that hold more than a thousandth of all rows, a thousand at
+    most, the component goes to their rows by a broadcast, so that no task gets all rows of one class.
     """
     p = params
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    sketches = written(docs.mapInArrow(_sketch(p), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "sketches")
+    sketches = written(docs.mapInArrow(_sketch(p), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>").withColumn("cls", F.xxhash64("fp1", "fp2", "n_shingles")), "sketches")
     real = sketches.where("n_shingles > 0 and doc_id is not null")
-    least = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = written(real.select("doc_id", "fp1", "fp2", "n_shingles").join(least, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "rep").distinct(), "classes")
-    reps = members.where("doc_id = rep").select(F.col("rep").alias("doc_id"))
-    banded = real.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    classes = written(real.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
+    firsts = classes.select(F.col("cls").alias("__cls"), F.col("least").alias("__least"))
+    first = (F.col("cls") == F.col("__cls")) & (F.col("doc_id") == F.col("__least"))
+    banded = real.join(firsts, first, "left_semi").dropDuplicates(["cls"]).select(F.col("cls").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.min_by("n", "id").alias("pivot_n")).where("size > 1")
     rows = written(banded.join(buckets, "key"), "buckets")
 
@@ -200,15 +207,27 @@ def near_duplicates(documents: DataFrame, params: MinHashParams = MinHashParams(
     star = rows.where((F.col("size") > p.small) & (F.col("id") != F.col("pivot"))).where(_possible(F.col("n"), F.col("pivot_n"), p)).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     pairs = written(pairs.unionByName(star).distinct(), "pairs")
 
-    wanted = rows.select("id").distinct()
-    texts = docs.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_sets(p.words), "id long, members array<long>"), "sets")
+    wanted = classes.join(rows.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").select("least").distinct()
+    texts = docs.join(wanted, F.col("doc_id") == F.col("least"), "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = texts.mapInArrow(_sets(p.words), "fp1 long, fp2 long, n_shingles long, members array<long>").select(F.xxhash64("fp1", "fp2", "n_shingles").alias("id"), "members")
+    sets = written(sets, "sets")  # a class occurs twice only where documents have several texts, which repeats links and no more
     links = written(_confirmed(pairs, sets, p), "links")
     found = cut(components(links))
 
     large = rows.where(F.col("size") > p.small).select("key", "id", "n")
-    found = cut(components(written(links.unionByName(_rest(large, found, sets, p)), "links")))
-
-    top = members.join(found, members["rep"] == found["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("least_link"))
-    all_rows = sketches.select("doc_id", "n_shingles").join(top, "doc_id", "left")
-    return all_rows.select("doc_id", "n_shingles", F.coalesce("least_link", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("least_link", "doc_id"))).alias("kept"))
+    links = links.unionByName(_rest(large, found, sets, p))
+    ids = real.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("doc_id", "a")  # documents with several texts
+    links = links.unionByName(real.select("doc_id", F.col("cls").alias("b")).join(ids, "doc_id").where("a < b").select("a", "b").distinct())
+    found = components(written(links, "links"))
+
+    part = classes.join(found, classes["cls"] == found["id"], "left").select("cls", "least", "size", F.coalesce("component", "cls").alias("component"))
+    part = written(part, "parts")
+    top = part.groupBy("component").agg(F.min("least").alias("least_link"))
+    part = written(part.drop("least").join(top, "component").select("cls", "size", "least_link"), "tops")
+    n = sketches.count()
+    hot = part.where(F.col("size") * 1000 > n).select("cls", "least_link")  # a thousand at most
+    every = sketches.select("doc_id", "n_shingles", "cls").join(F.broadcast(hot), "cls", "left")
+    is_hot = F.col("least_link").isNotNull() | F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    cold = every.where(~is_hot).drop("least_link").join(part.select("cls", "least_link"), "cls", "left")
+    done = every.where(is_hot).unionByName(cold).withColumn("least_link", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least_link")))
+    return done.select("doc_id", "n_shingles", F.coalesce("least_link", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("least_link", "doc_id"))).alias("kept"))

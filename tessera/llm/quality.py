@@ -14,9 +14,10 @@ from .toxicity import score_documents
 
 @dataclass(frozen=True)
 class QualityParams:
-    """per_class bounds the labelled rows that training takes of each class; 2**bits vectors of `dim` numbers are learned."""
+    """per_class bounds the labelled rows that training takes of each class, max_chars the length of their texts; 2**bits vectors of `dim` numbers are learned."""
 
     per_class: int = 1200
+    max_chars: int = 200_000
     orders: tuple[int, ...] = (3, 4)
     bits: int = 17
     dim: int = 8
@@ -115,10 +116,10 @@ class QualityModel:
 
 
 def train(documents: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    """Learns from at most 2 * per_class labelled rows outside the held-out fold; only texts and labels enter."""
-    return QualityModel(params).fit(*labelled_sample(documents, labels, "quality", params.folds, params.held_out, params.per_class))
+    """Learns from at most 2 * per_class labelled rows outside the held-out fold, texts of at most max_chars characters; only texts and labels enter."""
+    return QualityModel(params).fit(*labelled_sample(documents, labels, "quality", params.folds, params.held_out, params.per_class, params.max_chars))
 
 
 def classify(documents: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """Each row of documents as doc_id, held_out, score, predicted; nulls and empty texts as in toxicity.score_documents."""
+    """Each row of documents(doc_id, text, ...) as doc_id, held_out, score, predicted; odd rows and tables as in toxicity.classify, but without labels all rows are predicted 1."""
     return score_documents(documents, train(documents, labels, params), params.folds, params.held_out, params.threshold)

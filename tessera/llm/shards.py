@@ -55,6 +55,9 @@ def permuted(x: Column, n: int, seed: int, rounds: int = 6, inverse: bool = Fals
     return F.when(once < n, once).otherwise(walk)
 
 
+RUN = 10_000  # numbers that one row is expanded to at most
+
+
 def numbered(rows: DataFrame, keys: list[str], bucket_bits: int) -> tuple[DataFrame, int]:
     """(the rows of `keys` with a global row_number from 0, their count), in the order of a hash of all keys, then of the keys.
 
@@ -68,7 +71,11 @@ def numbered(rows: DataFrame, keys: list[str], bucket_bits: int) -> tuple[DataFr
     order = Window.partitionBy("__bucket").orderBy("__h", *keys)
     first = some.withColumn("__to", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "__bucket")
     first = first.withColumn("__from", F.col("__before") + F.col("__to") - F.col("__n"))
-    return first.select(*keys, F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("__n") - 1)).alias("row_number")), total
+    few = first.where(F.col("__n") <= RUN).select(*keys, F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("__n") - 1)).alias("row_number"))
+    run = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / RUN)))
+    runs = first.where(F.col("__n") > RUN).select(*keys, "__from", "__n", run.alias("__run"))  # rows repeated often are dealt out anew, a run of numbers a row
+    runs = runs.repartition("__from", "__run").select(*keys, (F.col("__from") + F.col("__run") * RUN).alias("__a"), (F.col("__from") + F.least((F.col("__run") + 1) * RUN, F.col("__n")) - 1).alias("__b"))
+    return few.unionByName(runs.select(*keys, F.explode(F.sequence("__a", "__b")).alias("row_number"))), total
 
 
 def assign(documents: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:

@@ -13,11 +13,15 @@ from . import calibrate
 from .common import MULTIPLIER, fold, labelled_sample
 
 
+SLICE = 500  # rows that are scored at a time
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
-    """per_class bounds the labelled rows that training takes of each class; bits is the log of the number of feature buckets."""
+    """per_class bounds the labelled rows that training takes of each class, max_chars the length of their texts; bits is the log of the number of feature buckets."""
 
     per_class: int = 1500
+    max_chars: int = 200_000
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
     smooth: float = 1.0
@@ -103,8 +107,8 @@ class ToxicityModel:
 
 
 def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Learns from at most 2 * per_class labelled rows outside the held-out fold; only texts and labels enter."""
-    return ToxicityModel(params).fit(*labelled_sample(documents, labels, "toxic", params.folds, params.held_out, params.per_class))
+    """Learns from at most 2 * per_class labelled rows outside the held-out fold, texts of at most max_chars characters; only texts and labels enter."""
+    return ToxicityModel(params).fit(*labelled_sample(documents, labels, "toxic", params.folds, params.held_out, params.per_class, params.max_chars))
 
 
 def score_documents(documents: DataFrame, model, folds: int, held_out: int, threshold: float) -> DataFrame:
@@ -119,14 +123,20 @@ def score_documents(documents: DataFrame, model, folds: int, held_out: int, thre
     def run(batches):
         m = shared.value
         for batch in batches:
-            s = m.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(s, pa.float64())})
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(m.score(part.column(1).to_pylist()), pa.float64())})
 
     scored = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def classify(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """Each row of documents(doc_id, text, ...) as doc_id, held_out, score, predicted; a null or empty text has the score of the bias alone.
+
+    Repeated rows and ids give a row each; rows with a null id count in the fold of the empty text; an empty table gives no rows; other
+    columns aren't read. Without labels, or with one class only, all rows are predicted alike (without any: 0).
+    """
     return score_documents(documents, train(documents, labels, params), params.folds, params.held_out, params.threshold)
 
 
@@ -137,8 +147,9 @@ def filter_documents(documents: DataFrame, model, threshold: float, reject_at_le
     def run(batches):
         m = shared.value
         for batch in batches:
-            s = m.score(batch.column("text").to_pylist())
-            keep = s < threshold if reject_at_least else s >= threshold
-            yield batch.filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                s = m.score(part.column("text").to_pylist())
+                yield part.filter(pa.array(s < threshold if reject_at_least else s >= threshold))
 
     return documents.mapInArrow(run, documents.schema)

@@ -11,6 +11,7 @@ import struct
 import uuid
 import zipfile
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -41,7 +42,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:x-page:{'null' if page_id is None else page_id}>"),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", "".join(c for c in url if c >= " ")),
+        ("WARC-Target-URI", "".join(f"%{ord(c):02X}" if c <= " " or c in "%\x7f" else c for c in url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
     ]
@@ -134,7 +135,8 @@ def write_archives(pages: DataFrame, params: WarcParams = WarcParams()) -> DataF
 
     Of records with equal payloads of at least params.least bytes, the one with the smallest page_id is the response and the others
     revisit it; of repeated rows with that page_id all are responses; so are rows with a null page_id. A null html is empty, a null
-    url "". A file gets a name of its own for each attempt and counts only by its row in the result, so a task that is lost and run
+    url ""; its control characters, spaces and percent signs are percent-encoded in the record and come back as they were. Records of
+    rows with one page_id share their record id. A file gets a name of its own for each attempt and counts only by its row in the result, so a task that is lost and run
     again leaves no doubles. The digest join carries each page once; a digest that many pages share is split by skew handling.
     """
     p, target = params, scratch_path(pages.sparkSession, "warc")
@@ -198,7 +200,7 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                             if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                                 raise ValueError(f"payload checksum in {path}")
                             length = int(next(x.partition(b":")[2] for x in head.split(CRLF) if x.lower().startswith(b"content-length")))
-                            out.append((_page(fields["warc-record-id"]), fields["warc-target-uri"], length, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), None if revisit or not with_payload else payload.decode("utf-8", "replace")))
+                            out.append((_page(fields["warc-record-id"]), unquote(fields["warc-target-uri"], errors="surrogatepass"), length, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), None if revisit or not with_payload else payload.decode("utf-8", "replace")))
                         cols = list(zip(*out, strict=True))
                         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
