@@ -26,11 +26,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row, with the least doc_id; of repeated rows and of rows with one id one. Rows with a null id are no group and stay."""
-    name = fresh_name("__kept", docs)
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    known = docs.where(docs["doc_id"].isNotNull())
-    one = known.join(kept, known["doc_id"] == kept[name], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(docs["doc_id"].isNull()))
+    name, count = fresh_name("__kept", docs), fresh_name("__rows", docs)
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(count))
+    one = docs.join(kept, docs["doc_id"] == kept[name])
+    repeated = one.where(F.col(count) > 1).dropDuplicates(["doc_id"])  # few rows as a rule, so no other text is sorted
+    return one.where(F.col(count) == 1).unionByName(repeated).drop(name, count).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
