@@ -102,6 +102,18 @@ def test_topk_skips_blocks():
         assert want is None or (ids.tolist() == want and read < 50)
 
 
+def test_topk_bounds_blocks_by_their_dense_scores():
+    """Two frequent terms that meet in one document only: no block without it can reach its score, though each holds both terms."""
+    got = [topk.terms("left right" if i == 0 else f"{'left' if i % 2 else 'right'} x{i}") for i in range(512)]
+    p = topk.SearchParams(k=1, block=8)
+    shard = topk.Shard(topk.packed(np.arange(512), got, p), 2.0, p)
+    t, n, _ = topk.terms("left right")
+    at, w = shard.known(t, n.astype(float))
+    scores, bounds = shard.dense_parts([(at, w)])
+    ids, _, read = shard.search(at, w, scores[0], bounds[0], *topk.NOTHING)
+    assert ids.tolist() == [0] and read == 1
+
+
 @pytest.mark.parametrize("dense", [0.02, 0.3, 2.0])
 @pytest.mark.parametrize("few", [0.0, 1.0])
 def test_topk_ways(dense, few):
