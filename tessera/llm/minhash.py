@@ -132,23 +132,24 @@ def _flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block(percent: int):
-    """The links between a block of sets and another block of one group, found on the full sets."""
+    """Links between a block of sets and another block of one group, found on the full sets: of each set one to each other component that it reaches there, since more join nothing."""
 
     def run(few: pa.Table, many: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         if few.num_rows and many.num_rows:
             x, x_at = _flat(few, "members")
             y, y_at = _flat(many, "its")
-            ids, others = few.column("id").to_numpy(), many.column("other").to_numpy()
+            ids, others, mine, theirs = few.column("id").to_numpy(), many.column("other").to_numpy(), few.column("component").to_numpy(), many.column("its_component").to_numpy()
             sizes = np.diff(y_at)
             for i in range(len(ids)):
                 own = x[x_at[i] : x_at[i + 1]]
                 hit = own[np.minimum(np.searchsorted(own, y), len(own) - 1)] == y
                 common = np.add.reduceat(hit, y_at[:-1], dtype=np.int64)
-                ok = (common * 100 >= (len(own) + sizes - common) * percent) & (others != ids[i])
-                a += np.minimum(others[ok], ids[i]).tolist()
-                b += np.maximum(others[ok], ids[i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                ok = np.flatnonzero((common * 100 >= (len(own) + sizes - common) * percent) & (theirs != mine[i]))
+                ok = ok[np.unique(theirs[ok], return_index=True)[1]]
+                a.append(np.minimum(others[ok], ids[i]))
+                b.append(np.maximum(others[ok], ids[i]))
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     return run
 
@@ -162,12 +163,12 @@ def _rest(rows: DataFrame, found: DataFrame, sets: DataFrame, p: MinHashParams)
     state = cut(rows.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
     shares = state.groupBy("key", "component").agg(F.count("*").alias("share"))
     main = shares.groupBy("key").agg(F.max_by("component", F.struct("share", "component")).alias("group"), F.count("*").alias("parts")).where("parts > 1")
-    state = cut(state.join(main.select("key", "group"), "key").select("group", "id", "n", (F.col("component") != F.col("group")).alias("outside")).groupBy("group", "id").agg(F.max("n").alias("n"), F.max("outside").alias("outside")))
+    state = cut(state.join(main.select("key", "group"), "key").groupBy("group", "id").agg(F.max("n").alias("n"), F.min("component").alias("component")).withColumn("outside", F.col("component") != F.col("group")))
     blocks = cut(state.groupBy("group").agg(F.ceil(F.sum("n") / p.block).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / p.block).cast("int").alias("out_blocks")))
     dealt = state.join(blocks, "group").join(sets, "id")
     hashed = F.xxhash64("id")
-    few = dealt.where("outside").select("group", F.pmod(hashed, F.col("out_blocks")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), "id", "members")
-    many = dealt.select(F.col("group").alias("of"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("u"), F.pmod(hashed, F.col("all_blocks")).cast("int").alias("v"), F.col("id").alias("other"), F.col("members").alias("its"))
+    few = dealt.where("outside").select("group", F.pmod(hashed, F.col("out_blocks")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), "id", "component", "members")
+    many = dealt.select(F.col("group").alias("of"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("u"), F.pmod(hashed, F.col("all_blocks")).cast("int").alias("v"), F.col("id").alias("other"), F.col("component").alias("its_component"), F.col("members").alias("its"))
     return few.groupBy("group", "x", "y").cogroup(many.groupBy("of", "u", "v")).applyInArrow(_block(p.percent), "a long, b long")
 
 

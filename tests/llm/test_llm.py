@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import bpe, common, components, decontaminate, extract, idcoder, idfiles, minhash, quality, shards, topk, toxicity, warc
@@ -347,6 +348,18 @@ def test_minhash(spark, k):
         assert got == want
 
 
+def test_minhash_blocks_give_no_links_inside_a_component():
+    """Two groups of near copies in one bucket: a block gives one link a set and component, not all pairs of a group."""
+    sets = [np.sort(np.array([*range(20), 1000 + i], dtype=np.uint64).view(np.int64)) for i in range(300)]
+    lists = minhash._lists(np.concatenate(sets), [21] * 300)
+    ids, component = np.arange(300), np.where(np.arange(300) < 100, 0, np.where(np.arange(300) < 250, 100, 250))
+    few = pa.table({"id": ids, "component": component, "members": lists}).slice(100, 50)
+    many = pa.table({"other": ids, "its_component": component, "its": lists})
+    got = minhash._block(80)(few, many).to_pandas()
+    assert len(got) == 100 and set(got.a) | set(got.b) == {0, 250, *range(100, 150)}
+    assert minhash._block(80)(few, many.slice(100, 150)).num_rows == 0
+
+
 def test_minhash_odd(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     got = minhash.near_duplicates(docs(spark, ["a b", "a b", "a b", None], [3, 3, None, 9])).collect()
