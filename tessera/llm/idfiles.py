@@ -26,20 +26,17 @@ class IdFileParams:
     block: int = 2048
     file_ids: int = 6_000_000
     partition_chars: int = 10_000_000
-    chunk_chars: int = 1_000_000
+    chunk_chars: int = 250_000
     partitions: int = 0
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library, an end id after each text. It meets each distinct word once and the texts' ids are put together from those.
 
-    Words are cut as numpy spans and looked up by a 64-bit hash. Words of a space and letters go to the library in runs: such words side by
-    side are still the same words, no token crosses their bounds, and the tokens' lengths in bytes tell where each word ends. Texts with a
-    special token or characters beyond the first plane go to it whole.
+    Words are cut as numpy spans, looked up by a 64-bit hash, and new ones given to the library's model in its byte alphabet, which leaves
+    out its own cutting. Texts with a special token or characters beyond the first plane go to the library whole.
     """
 
-    RUN = 500
-
     def __init__(self, path: str, end_id: int, max_words: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
@@ -47,10 +44,8 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for piece, i in vocab.items():
-            self.bytes[i] = len(piece)  # a character stands for a byte
+        self.model = self.tokenizer.model
+        self.letters = np.array([ord(c) for _, c in sorted(bpe.byte_symbols().items())], dtype="<u2")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_words, self.end_id = max_words, end_id
         self._reset()
@@ -61,27 +56,17 @@ class LibraryEncoder:
 
     def _fresh(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of new words in turn, number of ids of each) of spans of code points."""
-        letters = bpe.gather(codes, starts, lengths)
-        at = np.cumsum(lengths) - lengths
-        good = wordpieces.simple_letters(letters)
-        good[at] = letters[at] == 32
-        plain = np.logical_and.reduceat(good, at) & (lengths > 1)
-        form = "latin-1" if codes.itemsize == 1 else "utf-16-le"
-        simple, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
-        run = bpe.gather(letters, at[simple], lengths[simple])
-        size = np.add.reduceat(1 + (run >= 128), np.cumsum(lengths[simple]) - lengths[simple], dtype=np.int64) if len(simple) else simple
-        cuts = np.append(np.cumsum(lengths[simple])[self.RUN - 1 : -1 : self.RUN], len(run)).tolist()
-        runs = [run[a:b].tobytes().decode(form) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        joined = [x for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for x in e.ids]
-        others = [letters[a:b].tobytes().decode(form) for a, b in zip(at[rest].tolist(), (at + lengths)[rest].tolist(), strict=True)]
-        single = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        ids = np.array(joined + [x for e in single for x in e], dtype=np.int32)
-        ends = np.searchsorted(np.cumsum(self.bytes[ids[: len(joined)]]), np.cumsum(size)) + 1
-        if len(simple) and ends[-1] != len(joined):
-            raise ValueError("the words' lengths don't fit their tokens")
-        counts = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in single], dtype=np.int64)]).astype(np.int64)
-        first, order = np.cumsum(counts) - counts, np.argsort(np.concatenate([simple, rest]))
-        return bpe.gather(ids, first[order], counts[order]), counts[order]
+        points = bpe.gather(codes, starts, lengths)
+        size = 1 + (points >= 128).view(np.int8) + (points >= 2048).view(np.int8)  # bytes in UTF-8
+        cuts = np.cumsum(np.add.reduceat(size, np.cumsum(lengths) - lengths, dtype=np.int64)).tolist()
+        raw = points.tobytes().decode("latin-1" if codes.itemsize == 1 else "utf-16-le").encode()
+        text, tokenize = self.letters[np.frombuffer(raw, dtype=np.uint8)].tobytes().decode("utf-16-le"), self.model.tokenize
+        ids, counts = [], []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            word = [t.id for t in tokenize(text[a:b])]
+            ids += word
+            counts.append(len(word))
+        return np.array(ids, dtype=np.int32), np.array(counts, dtype=np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each), end ids counted; null counts as the empty text."""

@@ -71,11 +71,6 @@ def spans(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n)
 
 
-def simple_letters(codes: np.ndarray) -> np.ndarray:
-    """Which code points are letters below U+0250."""
-    return (_classes()[codes] == _LETTER) & (codes < 592)
-
-
 class WordTable:
     """A hash table from 64-bit word hashes to runs of ids, in numpy: lookups of many words at once by linear probing."""
 

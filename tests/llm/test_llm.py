@@ -507,6 +507,31 @@ def test_id_coder():
     assert sum(len(b[2]) for b in idcoder.encode(np.tile([5, 9, 2, 7], 2000).astype(np.uint32))[1]) < 8000
 
 
+def test_id_coder_tells_kinds_of_text():
+    rng = np.random.default_rng(5)
+    kinds = [rng.permutation(50257)[:512] for _ in range(4)]
+    ids = np.concatenate([kinds[k][rng.integers(0, 512, 256)] for k in rng.integers(0, 4, 1600)])  # 9 bits an id, 11 where kinds are mixed
+    prior, blocks = idcoder.encode(ids.astype(np.uint32))
+    assert (idcoder.decode(idcoder.Prior.loaded(prior.dumped()), blocks) == ids).all()
+    assert 8 * sum(len(b[2]) for b in blocks) < 9.2 * len(ids)
+    wide = np.concatenate([np.arange(1 << 18), np.zeros(1 << 18), rng.integers(0, 1 << 18, 5000)]).astype(np.uint32)  # shares of 1 in 2**20 and of nearly all
+    assert (idcoder.decode(*idcoder.encode(wide)) == wide).all()
+
+
+def test_broken_blocks_of_ids():
+    rng = np.random.default_rng(6)
+    ids = rng.zipf(1.4, 70000).clip(max=3000).astype(np.uint32)
+    prior, blocks = idcoder.encode(ids)
+    assert len(prior.codes) > 1
+    for at in (0, 3, 4, 9, 40, 500):
+        n, crc, raw = blocks[1]
+        bad = [bytearray(raw), raw[:at], raw[:at] + raw[at + 1 :]]
+        bad[0][at] ^= 0xFF
+        for b in bad:
+            with pytest.raises(ValueError, match="checksum of block 1"):
+                idcoder.decode(prior, [blocks[0], (n, crc, bytes(b)), *blocks[2:]])
+
+
 def adaptive_order0_bits(ids, vocabulary):
     """Ideal length of adaptive counts with an escape, a new id at equal shares of the vocabulary."""
     counts, bits = {}, 0.0
