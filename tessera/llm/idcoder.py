@@ -330,13 +330,13 @@ def encode(ids: np.ndarray, block: int = 2048, lanes_at_once: int = 6144, most_t
     held = np.zeros(int(ids.max(initial=0)) + 1, dtype=bool)
     held[ids] = True
     found = np.flatnonzero(held)
-    places = np.cumsum(held, dtype=np.uint32).take(ids)
+    places = np.cumsum(held, dtype=np.uint32)
     if not len(ids):
         return Prior(found[:0].astype(np.uint32), np.zeros((1, 0), dtype=np.uint8)), []
     groups, coded, shares = list(_groups(_sizes(len(ids), block), lanes_at_once)), [], []
     for first, own in groups:
-        rows = places[first * block : first * block + int(own.sum())]
-        rows = np.concatenate([rows, np.full(len(own) * int(own.max()) - len(rows), places[-1], dtype=np.uint32)])
+        rows = places.take(ids[first * block : first * block + int(own.sum())])
+        rows = np.concatenate([rows, np.full(len(own) * int(own.max()) - len(rows), rows[-1], dtype=np.uint32)])
         some, share = _unpredicted(_turned(rows.reshape(len(own), -1)))
         coded.append(some)
         shares.append(share)
