@@ -112,7 +112,7 @@ def write_files(documents: DataFrame, tokenizer_path: str, params: IdFileParams
     one id with many texts is no hot task, of a hash of the text; each range is sorted in its task with spilling, so no task's memory grows
     with the table. The number of ranges comes from the number of rows and the mean length of a few; it decides sizes only. Files of lost
     attempts have names that the returned table doesn't hold. Only that table of files, a row for some millions of ids, is put in one order
-    to add up the starts.
+    to add up the starts; it is written after that, as one Parquet file instead of one for each task.
     """
     p, target = params, scratch_path(documents.sparkSession, "ids")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -147,13 +147,16 @@ def write_files(documents: DataFrame, tokenizer_path: str, params: IdFileParams
         if doc:
             yield close()
 
-    files = written(ranged.mapInArrow(run, "path string, first_doc long, n_docs long, n_ids long, turn long"), "id-files")
+    files = ranged.mapInArrow(run, "path string, first_doc long, n_docs long, n_ids long, turn long")
     order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "turn", "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids")).drop("turn")
+    return written(files.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids")).drop("turn"), "id-files")
 
 
-def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in files(path, start, ...), from the files alone."""
+def read_files(files: DataFrame, with_ids: bool = False, task_ids: int = 1_000_000) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in files(path, n_ids, start, ...), from the files alone.
+
+    Files are dealt to a task for each task_ids ids, or to as many as there are cores if that is more, and to no more tasks than files.
+    """
 
     def run(batches):
         for batch in batches:
@@ -169,5 +172,6 @@ def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     out, names = [*out, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    n = max(1, files.count())
+    count, total = files.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    n = max(1, min(count, max(files.sparkSession.sparkContext.defaultParallelism, -(-total // task_ids))))
     return files.select("path", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)

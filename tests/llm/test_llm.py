@@ -578,6 +578,23 @@ def test_id_files(spark, library):
     assert sorted((r.start, r.doc_id) for r in odd) == [(0, None), (2, 4), (4, 4)]
 
 
+def test_id_files_many_small(spark, library):
+    """Many small files have one table file and share tasks; rows stay those of whole texts."""
+    texts = [f"text {i} " * (i % 7) for i in range(300)]
+    files = idfiles.write_files(docs(spark, texts, list(range(300))), tokenizer_path(), idfiles.IdFileParams(partitions=40))
+    assert files.count() > 20
+    assert len(files.inputFiles()) == 1
+    cores = spark.sparkContext.defaultParallelism
+    for task_ids, tasks in ((10**6, cores), (1, files.count())):
+        rows = idfiles.read_files(files, task_ids=task_ids)
+        assert rows.rdd.getNumPartitions() == tasks
+        start = 0
+        for r, t in zip(rows.orderBy("doc_id").collect(), texts, strict=True):
+            want = [*library.encode(t, add_special_tokens=False).ids, 2]
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+            start += len(want)
+
+
 def test_warc(spark):
     html = ["<p>one</p>", "<p>two</p>", "<p>one</p>", "", None, "é\r\n\r\nWARC/1.1\r\n" * 50, "<p>one</p>"]
     pages = spark.createDataFrame([(i, f"http://x/{i} y\n" if i else None, h, "c") for i, h in enumerate(html)] + [(None, "u", "<p>one</p>", "c")], "page_id long, url string, html string, first string")
