@@ -6,6 +6,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera import corpus_queries as more
@@ -362,3 +363,63 @@ def test_token_table(spark):
             n, c = want.get(kind, (0, 0))
             want[kind] = (n + 1, c + (place + 1 < size))
     assert {r.category: (r.n, r.continued) for r in more.token_table(spark, SF).collect()} == want
+
+
+def copies(n, seed):
+    """Vectors of four types, some of them equal."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 6)).astype(np.float32)
+    x[rng.integers(0, n, n // 3)] = x[0]
+    return x, rng.integers(0, 4, n)
+
+
+def vectors_of(spark, x, types):
+    return spark.createDataFrame([(i, int(t), r.tolist()) for i, (r, t) in enumerate(zip(x, types, strict=True))], "id long, type int, vec array<float>")
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_neighbours_pick_in_the_scan(spark, block):
+    x, types = copies(60, 5)
+    v = vectors_of(spark, x, types).select("id", "vec")
+    picks = [kn.Pick(4), kn.Pick(2, eps=0.05), kn.Pick(4, "all", 0.05), kn.Pick(4, "random", 0.05, "7")]
+    rows = kn.neighbours(v, picks, block_rows=block)
+    got = {n: {(r.src, r.dst) for r in rows.collect() if r.pick == n} for n in range(4)}
+    assert got[0] == brute(x.astype(float), 4, 1e-6, "position") and got[1] == brute(x.astype(float), 2, 0.05, "position") and got[2] == brute(x.astype(float), 4, 0.05, "all")
+    want = kn.select(kn.candidates(v, 4, 0.05), 4, 0.05, "random", "7").collect()
+    assert got[3] == {(r.src, r.dst) for r in want}
+    alone = kn.neighbours(v, [kn.Pick(4)], block_rows=block)  # equal values are cut short where only the first are wanted
+    assert {(r.src, r.dst) for r in alone.collect()} == got[0]
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_neighbours_of_other_types(spark, block):
+    x, types = copies(60, 6)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    want = set()
+    for i in range(60):
+        best = sorted(((-round(s[i, types == t].max(), 12), int(t)) for t in range(4) if t != types[i]))[:2]
+        want |= {(i, t) for _, t in best}
+    got = kn.neighbours(vectors_of(spark, x, types), [kn.Pick(2, eps=0.0)], typed=True, block_rows=block)
+    assert {(r.src, r.dst) for r in got.collect()} == want
+
+
+def test_scan_shuffles_in_proportion(spark):
+    """Three times the rows, three times the shuffle once there are 36 blocks: vectors went to a number of blocks that grew with the rows."""
+    size = {}
+    for n in (720, 2160):
+        v = spark.range(n).select("id", F.array(*(F.sin(F.col("id") * k + k).cast("float") for k in range(1, 5))).alias("vec"))
+        plan = kn.neighbours(v, [kn.Pick(2)], block_rows=10)
+        size[n] = plan.count(), plan.rdd.getNumPartitions()
+    assert size == {720: (1440, 36), 2160: (4320, 36)}
+
+
+def test_lexical_neighbours_of_frequent_types(spark):
+    """Rows of a type of 3,000 get their neighbours from one short list, not from 9,000,000 pairs."""
+    types = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "type int, vec array<double>")
+    rows = spark.range(3003).select("id", F.when(F.col("id") >= 3000, F.col("id") - 2999).otherwise(0).cast("int").alias("type"))  # one row of type 1, two of type 2
+    rows = rows.withColumn("type", F.least("type", F.lit(2)))
+    got = kn.lexical_neighbours(rows, types, 3).toPandas()
+    lists = got.sort_values("dst").groupby("src")["dst"].apply(list)
+    assert len(got) == 3003 * 3 and lists[0] == [1, 2, 3] and lists[2] == [0, 1, 3] and lists[2999] == [0, 1, 2]
+    assert lists[3000] == [0, 1, 2] and lists[3001] == [0, 3000, 3002] and lists[3002] == [0, 3000, 3001]
