@@ -9,7 +9,7 @@ from .functions import text as tx
 from .operators import graph as gr
 from .operators import knn as kn
 from .operators import order as od
-from .queries import DW, KEEP, NN, PAR, kept_paragraphs, nn, query, read, verts, words
+from .queries import DW, KEEP, NN, PAR, kept_paragraphs, nn, query, read, seeded, verts, words
 from .sources import files
 
 
@@ -175,8 +175,8 @@ def _layers(spark, sf):
     e = read(spark, sf, "embeddings")
     out = None
     for d in DEPTHS:
-        v = e.select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, d).alias("vec"))
-        one = kn.select(kn.candidates(v, 10, 1e-6), 10, 1e-6, "position").select(F.lit(d).alias("depth"), "src", "dst")
+        v = e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, d).alias("vec"))
+        one = kn.neighbours(v, [kn.Pick(10)]).select(F.lit(d).alias("depth"), "src", "dst")
         out = one if out is None else out.unionAll(one)
     return gr.checkpointed(out)
 
@@ -214,12 +214,7 @@ def _seed(i):
 @query("WITH " + ", ".join(_seed(i) for i in range(4)) + ", f AS (" + " UNION ALL ".join(f"SELECT vec_id, count(r{b}.dst) / (20 - count(r{b}.dst))::DOUBLE j FROM embeddings JOIN r{a} ON r{a}.src = vec_id LEFT JOIN r{b} ON r{b}.src = r{a}.src AND r{b}.dst = r{a}.dst GROUP BY vec_id" for a, b in ((0, 1), (2, 3))) + ") SELECT vec_id id, round(avg(j), 9) floor FROM f GROUP BY vec_id")
 def noise_floor_pairs(spark, sf):
     """Mean Jaccard over the disjoint seed pairs (0, 1) and (2, 3)."""
-    from .queries import cands
-
-    c, out = gr.checkpointed(cands(spark, sf, eps=0.05)), None
-    for i in range(4):
-        one = kn.select(c, 10, 0.05, "random", f"7|L01|10|{i}").select("src", "dst", F.lit(i // 2).alias("pair"))
-        out = one if out is None else out.unionAll(one)
+    out = seeded(spark, sf, 4).select(F.floor(F.col("pick") / 2).alias("pair"), "src", "dst")
     n = out.groupBy("pair", "src", "dst").agg(F.count("*").alias("n"))
     j = n.groupBy("pair", "src").agg((F.sum((F.col("n") == 2).cast("int")) / F.count("*")).alias("j"))
     return j.groupBy(F.col("src").alias("id")).agg(F.round(F.avg("j"), 9).alias("floor"))
