@@ -49,6 +49,7 @@ def closest_k(known: list[int], wanted: int) -> int | None:
 def canonical(specs: list[GraphSpec], edges: dict[tuple[str, int], DataFrame]) -> DataFrame:
     """(graph, edges, canonical): of each planned graph the number of edges and the first planned one with the same edge set. edges holds them by (rep, k)."""
     prints, out = {key: gr.fingerprint(e, e.select(F.col("src").alias("id")).limit(0)).select("edges", "digest") for key, e in edges.items()}, None
+    prints = {key: gr.checkpointed(x) for key, x in prints.items()}  # a row each, asked for by every planned graph with these edges
     for i, s in enumerate(specs):
         one = prints[s.rep, s.k].select(F.lit(s.graph_id).alias("graph"), "edges", "digest", F.lit(i).alias("o"))
         out = one if out is None else out.unionAll(one)

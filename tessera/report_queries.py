@@ -10,7 +10,7 @@ from .operators import graph as gr
 from .operators import knn as kn
 from .operators import order as od
 from .plans import graphs as plan
-from .queries import DOM, E_U, EPS, KEEP, NN, NN3, PAR, REACH, R, cands, dom, kept_paragraphs, nn, query, read, vectors, verts
+from .queries import DOM, E_U, EPS, KEEP, NN, NN3, PAR, REACH, R, cands, dom, kept_paragraphs, nn, picked, query, read, seeded, vectors, verts
 
 
 def r6(x):
@@ -22,8 +22,8 @@ COMP = f"{NN3}, {REACH}, r(id, root) AS (SELECT vec_id, vec_id FROM embeddings U
 RANKED = f"{COMP}, z AS (SELECT component, count(*) size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 rank FROM c GROUP BY component)"
 
 
-def ranked_components(spark, sf):
-    c = gr.checkpointed(gr.components(gr.union(nn(spark, sf, k=2)), verts(spark, sf)))
+def ranked_components(spark, sf, edges=None):
+    c = gr.checkpointed(gr.components(gr.union(nn(spark, sf, k=2)) if edges is None else edges, verts(spark, sf)))
     return c, od.numbered(c.groupBy("component").agg((-F.count("*")).alias("minus")), ["minus", "component"], "rank")
 
 
@@ -36,9 +36,10 @@ def component_rank(spark, sf):
 
 def largest(spark, sf):
     """(vertices, edges) of the largest component of the two-neighbour graph."""
-    c, z = ranked_components(spark, sf)
+    e = gr.checkpointed(gr.union(nn(spark, sf, k=2)))
+    c, z = ranked_components(spark, sf, e)
     ids = gr.checkpointed(c.join(z.where("rank = 0"), "component").select("id"))
-    e = gr.union(nn(spark, sf, k=2)).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
     return ids, gr.checkpointed(e.select("src", "dst"))
 
 
@@ -76,13 +77,10 @@ SEEDS = ", ".join(R(i) for i in range(3))
     SELECT measure, round(avg(v), 6) mean, round(stddev_samp(v), 6) sd FROM u GROUP BY measure""")
 def seed_means(spark, sf):
     """Mean and standard deviation over seeds of the tie draw of two measures of the union graph, as rows of a long table."""
-    c, out = gr.checkpointed(cands(spark, sf, eps=0.05)), None
     n = verts(spark, sf).count()
-    for i in range(3):
-        a = kn.select(c, 10, 0.05, "random", f"7|L01|10|{i}")
-        e = a.groupBy(F.least("src", "dst"), F.greatest("src", "dst")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("arcs"), F.count("*").alias("edges"))
-        one = e.select((2.0 * F.col("edges") / n).alias("mean_degree"), ((F.col("arcs") - F.col("edges")) / F.col("edges")).alias("mutual_share"))
-        out = one if out is None else out.unionAll(one)
+    a = seeded(spark, sf, 3).groupBy("pick", F.least("src", "dst"), F.greatest("src", "dst")).agg(F.count("*").alias("n"))
+    e = a.groupBy("pick").agg(F.sum("n").alias("arcs"), F.count("*").alias("edges"))
+    out = e.select((2.0 * F.col("edges") / n).alias("mean_degree"), ((F.col("arcs") - F.col("edges")) / F.col("edges")).alias("mutual_share"))
     return out.unpivot([], ["mean_degree", "mutual_share"], "measure", "v").groupBy("measure").agg(r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("sd"))
 
 
@@ -90,11 +88,7 @@ def seed_means(spark, sf):
     SELECT src id, count(*) FILTER (n = 3) always, count(*) FILTER (n < 3) sometimes FROM n GROUP BY src""")
 def seed_sets(spark, sf):
     """Neighbours of each row that every seed draws, and that only some do."""
-    c, out = gr.checkpointed(cands(spark, sf, eps=0.05)), None
-    for i in range(3):
-        one = kn.select(c, 10, 0.05, "random", f"7|L01|10|{i}").select("src", "dst")
-        out = one if out is None else out.unionAll(one)
-    n = out.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    n = seeded(spark, sf, 3).groupBy("src", "dst").agg(F.count("*").alias("n"))
     return n.groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("n") == 3).alias("always"), F.count_if(F.col("n") < 3).alias("sometimes"))
 
 
@@ -305,10 +299,8 @@ TIES = {"position": NN("tp", eps="0.05"), "all": NN("ta", eps="0.05", tie="all")
     SELECT tie, p.label % 2 band, round(avg((p.label = q.label)::INT), 6) d, round(count(*) / count(DISTINCT src)::DOUBLE, 6) size FROM u JOIN embeddings p ON p.vec_id = src JOIN embeddings q ON q.vec_id = dst GROUP BY 1, 2""")
 def tie_variants(spark, sf):
     """Dominance and mean size of neighbour sets by tie rule and band."""
-    c, out = gr.checkpointed(cands(spark, sf, eps=0.05)), None
-    for tie in ("position", "all", "random"):
-        one = kn.select(c, 10, 0.05, tie, "7|L01|10|0").select(F.lit(tie).alias("tie"), "src", "dst")
-        out = one if out is None else out.unionAll(one)
+    ties = ("position", "all", "random")
+    out = picked(spark, sf, [kn.Pick(10, t, 0.05, "7|L01|10|0") for t in ties]).select(F.array(*map(F.lit, ties))[F.col("pick")].alias("tie"), "src", "dst")
     v = verts(spark, sf)
     j = out.join(v.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(v.withColumnsRenamed({"id": "dst", "label": "b"}), "dst")
     return j.groupBy("tie", (F.col("a") % 2).alias("band")).agg(r6(F.avg((F.col("a") == F.col("b")).cast("int"))).alias("d"), r6(F.count("*") / F.count_distinct("src")).alias("size"))
@@ -358,11 +350,10 @@ def given_order(spark, sf):
     u AS (SELECT k, 'd' measure, d v FROM m UNION ALL SELECT k, 'size', size FROM m) SELECT measure, round(max(v) FILTER (k = 'k5'), 6) k5, round(max(v) FILTER (k = 'k10'), 6) k10, round(max(v) FILTER (k = 'k20'), 6) k20 FROM u GROUP BY measure""")
 def metric_matrix(spark, sf):
     """Measures as rows, neighbour counts as columns: unpivot, then pivot."""
-    c, out, v = gr.checkpointed(cands(spark, sf, k=20)), None, verts(spark, sf)
-    for k in (5, 10, 20):
-        j = kn.select(c, k).join(v.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(v.withColumnsRenamed({"id": "dst", "label": "b"}), "dst")
-        one = j.agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("d"), (F.count("*") / F.count_distinct("src")).alias("size")).withColumn("k", F.lit(f"k{k}"))
-        out = one if out is None else out.unionAll(one)
+    ks, v = ("k5", "k10", "k20"), verts(spark, sf)
+    n = picked(spark, sf, [kn.Pick(int(k[1:])) for k in ks]).select(F.array(*map(F.lit, ks))[F.col("pick")].alias("k"), "src", "dst")
+    j = n.join(v.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(v.withColumnsRenamed({"id": "dst", "label": "b"}), "dst")
+    out = j.groupBy("k").agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("d"), (F.count("*") / F.count_distinct("src")).alias("size"))
     return out.unpivot(["k"], ["d", "size"], "measure", "v").groupBy("measure").pivot("k", ["k5", "k10", "k20"]).agg(r6(F.max("v")))
 
 
@@ -374,7 +365,12 @@ VARIANTS = [("L01", 5), ("L01", 10), ("L02", 10)]
 def plan_duplicates(spark, sf):
     """Planned graphs and for each the first with the same edge set, which is the one to measure."""
     specs = plan.graph_specs([("L01", [5, 10]), ("L02", [10])], ["union"], ["position", "first"])
-    return plan.canonical(specs, {(s.rep, s.k): gr.union(nn(spark, sf, k=s.k, rep=s.rep)) for s in specs})
+    edges = {}
+    for rep in dict.fromkeys(s.rep for s in specs):
+        ks = sorted({s.k for s in specs if s.rep == rep})
+        n = gr.checkpointed(picked(spark, sf, [kn.Pick(k) for k in ks], rep).select("pick", "src", "dst"))
+        edges |= {(rep, k): gr.union(n.where(F.col("pick") == i)) for i, k in enumerate(ks)}
+    return plan.canonical(specs, edges)
 
 
 @query(f"WITH RECURSIVE {NN()}, {E_U}, deg AS (SELECT degree FROM dg), b AS (SELECT least(floor(degree / 2), 39)::INT bin FROM deg) SELECT bin, count(*) n FROM b GROUP BY bin")
@@ -386,8 +382,7 @@ def degree_bins(spark, sf):
 @query(f"WITH {NN(eps='1e-6')}, l AS (SELECT src, count(*) n, max(sim) top, min(sim) last FROM nn_b WHERE f OR b GROUP BY src) SELECT src id, n, round(top, 6) top, round(last, 6) last FROM l")
 def candidate_lists(spark, sf):
     """Length and ends of each row's candidate list."""
-    c = kn.bounded(cands(spark, sf, 10, "L01", EPS), 10, EPS)
-    return c.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), r6(F.max("sim")).alias("top"), r6(F.min("sim")).alias("last"))
+    return picked(spark, sf, [kn.Pick(10, "all", EPS)]).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), r6(F.max("sim")).alias("top"), r6(F.min("sim")).alias("last"))
 
 
 @query(f"WITH {', '.join(NN(f'm{k}', k=k) for k in (5, 10))}, u AS (SELECT 5 k, src, dst FROM m5 UNION ALL SELECT 10, src, dst FROM m10) SELECT k, 'position' tie, src, dst FROM u")
