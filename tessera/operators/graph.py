@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,11 +117,113 @@ def strong_components(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 WORD = 62  # sources a bit set holds
+HELD = 1 << 27  # arcs that a task may hold: some 2 GB while they are put in order
+
+
+class _Graph:
+    """Arcs in a task, for breadth-first walks from many sources at once: a vertex has a bit a source, in words of 64.
+
+    Vertices are numbered by falling in-degree, so the j-th arcs into all vertices that have as many lead to a range of rows.
+    """
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.ids = np.unique(np.concatenate([src, dst]))
+        s, t = np.searchsorted(self.ids, src).astype(np.int32), np.searchsorted(self.ids, dst).astype(np.int32)
+        degree = np.bincount(t, minlength=len(self.ids))
+        order = np.argsort(-degree, kind="stable").astype(np.int32)
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
+        s, t = self.place[s], self.place[t]
+        by = np.argsort(t, kind="stable")
+        s, degree = s[by], degree[order]
+        start = np.cumsum(degree) - degree
+        self.nth = [s[start[: np.count_nonzero(degree > j)] + j] for j in range(min(256, int(degree.max(initial=0))))]
+        hubs = np.count_nonzero(degree > 256)
+        self.hubs = [s[start[v] + 256 : start[v] + degree[v]] for v in range(hubs)]
+
+    def counts(self, sources: np.ndarray) -> dict[int, int]:
+        """How many pairs (source, vertex) lie at each distance above 0."""
+        n, out = len(self.ids), {}
+        at = np.minimum(np.searchsorted(self.ids, sources), max(0, n - 1))
+        rows = self.place[at[self.ids[at] == sources]] if n else np.zeros(0, np.int32)
+        words = int(max(1, min(16, (1 << 27) // (32 * max(1, n)), -(-len(rows) // 64))))
+        seen, front, new, some = (np.zeros((n, words), np.uint64) for _ in range(4))
+        for a in range(0, len(rows), 64 * words):
+            r = rows[a : a + 64 * words]
+            k = np.arange(len(r))
+            front[:] = 0
+            front[r, k >> 6] = np.uint64(1) << (k & 63).astype(np.uint64)
+            seen[:] = front
+            d = 0
+            while True:
+                new[:] = 0
+                for s in self.nth:
+                    np.take(front, s, axis=0, out=some[: len(s)], mode="clip")
+                    new[: len(s)] |= some[: len(s)]
+                for v, s in enumerate(self.hubs):
+                    for c in range(0, len(s), 1 << 16):
+                        new[v] |= np.bitwise_or.reduce(front[s[c : c + (1 << 16)]], axis=0)
+                np.bitwise_not(seen, out=some)
+                new &= some
+                pairs = int(np.bitwise_count(new).sum(dtype=np.int64))
+                if not pairs:
+                    break
+                d += 1
+                out[d] = out.get(d, 0) + pairs
+                seen |= new
+                front, new = new, front
+        return out
 
 
 def distances(arcs: DataFrame, sources: DataFrame, source: str = "id") -> DataFrame:
     """(d, pairs): how many ordered pairs (source, vertex) lie at each shortest distance d > 0; arcs(src, dst) as given.
 
+    Sources are dealt into 36 blocks at most. Each is one task, which gets all arcs in pieces, walks from a few hundred of its sources at a time and
+    returns counts, so nothing is written by source and vertex. A task holds the arcs and 128 MB of bits, or 32 bytes a vertex if that is more;
+    beyond HELD arcs walks are joins, whose tables grow with sources times vertices.
+    """
+    arcs = checkpointed(arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct())
+    if arcs.count() > HELD:
+        return joined_distances(arcs, sources, source)
+    ids = sources.select(F.col(source).cast("long").alias("id")).where(F.col(source).isNotNull()).distinct()
+    parts = max(1, min(36, -(-ids.count() // 512)))
+    packed = "kind int, to array<int>, a binary, b binary"
+
+    def pack(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([list(range(parts))], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (a, b))], names=["kind", "to", "a", "b"])
+
+    def deal(batches):
+        for batch in batches:
+            a = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (h ^ (h >> np.uint64(32))) % np.uint64(parts)
+            to = np.unique(x)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(to), pa.int32()), pa.array([[int(t)] for t in to], pa.list_(pa.int32())), pa.array([a[x == t].tobytes() for t in to], pa.binary()), pa.array([b""] * len(to), pa.binary())], names=["kind", "to", "a", "b"])
+
+    def walk(batches):
+        got: dict[int, list] = {}
+        for batch in batches:
+            for x, kind, a, b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                got.setdefault(x, ([], [], []))[0 if kind == 0 else 1].append(np.frombuffer(a, np.int64))
+                if kind:
+                    got[x][2].append(np.frombuffer(b, np.int64))
+        for own, src, dst in got.values():
+            if own and src:
+                src, dst = np.concatenate(src), np.concatenate(dst)
+                graph = _Graph(src, dst)
+                del src, dst
+                found = sorted(graph.counts(np.concatenate(own)).items())
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["d", "pairs"])
+
+    pieces = arcs.mapInArrow(pack, packed).unionAll(ids.mapInArrow(deal, packed)).select(F.explode("to").alias("x"), "kind", "a", "b")
+    return pieces.repartitionById(parts, F.col("x")).mapInArrow(walk, "d long, pairs long").groupBy("d").agg(F.sum("pairs").alias("pairs"))
+
+
+def joined_distances(arcs: DataFrame, sources: DataFrame, source: str = "id") -> DataFrame:
+    """distances() without a graph in any task.
+
     Breadth-first from all sources at once. Sources are numbered in words of 62, and a row (word, vertex) holds the bits of the sources that
     have reached the vertex, so a step is one join of the frontier with the arcs and one bitwise-or a vertex; no task holds the graph.
     """

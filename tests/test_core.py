@@ -423,3 +423,13 @@ def test_lexical_neighbours_of_frequent_types(spark):
     lists = got.sort_values("dst").groupby("src")["dst"].apply(list)
     assert len(got) == 3003 * 3 and lists[0] == [1, 2, 3] and lists[2] == [0, 1, 3] and lists[2999] == [0, 1, 2]
     assert lists[3000] == [0, 1, 2] and lists[3001] == [0, 3000, 3002] and lists[3002] == [0, 3000, 3001]
+
+
+def test_walks_from_many_sources(spark):
+    """Hubs, several blocks of sources and sources outside the graph, against joins; nothing is written by source and vertex."""
+    rng = np.random.default_rng(9)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 1500, (2500, 2))} | {(int(a), 3) for a in rng.integers(0, 1500, 700)}
+    arcs = edges(spark, sorted(pairs)).checkpoint()
+    ids = spark.range(1600)
+    got = {r.d: r.pairs for r in gr.distances(arcs, ids).collect()}
+    assert got == {r.d: r.pairs for r in gr.joined_distances(arcs, ids).collect()} and len(got) > 5
