@@ -47,9 +47,10 @@ def canonical(parts: DataFrame) -> DataFrame:
 
 
 def _moves(n, at, to, w, strength, total, resolution, rng, part):
-    """Moves single vertices to the neighbouring community of most gain until none gains; part is changed."""
-    weight = np.bincount(part, strength, minlength=n)
-    waiting, queued = list(rng.permutation(n)), np.ones(n, dtype=bool)
+    """The partition after moving single vertices to the neighbouring community of most gain until none gains."""
+    weight = np.bincount(part, strength, minlength=n).tolist()
+    waiting, queued = rng.permutation(n).tolist(), [True] * n
+    part, strength, at = part.tolist(), strength.tolist(), at.tolist()  # single values of lists are read faster than those of arrays
     head = 0
     while head < len(waiting):
         v = waiting[head]
@@ -73,14 +74,14 @@ def _moves(n, at, to, w, strength, total, resolution, rng, part):
                 if part[u] != best and not queued[u]:
                     queued[u] = True
                     waiting.append(u)
-    return part
+    return np.array(part, dtype=np.int64)
 
 
 def _refine(n, at, to, w, strength, total, resolution, rng, part):
     """Within each community, merges single vertices into well-connected sub-communities, each of which is connected."""
-    sub, size = np.arange(n), strength.copy()
-    alone = np.ones(n, dtype=bool)
-    for v in rng.permutation(n):
+    sub, size, alone = list(range(n)), strength.tolist(), [True] * n
+    part, strength, at = part.tolist(), strength.tolist(), at.tolist()
+    for v in rng.permutation(n).tolist():
         if not alone[v]:
             continue
         links: dict[int, float] = {}
@@ -97,7 +98,7 @@ def _refine(n, at, to, w, strength, total, resolution, rng, part):
             size[sub[v]] -= strength[v]
             alone[best] = alone[v] = False
             sub[v] = best
-    return sub
+    return np.array(sub, dtype=np.int64)
 
 
 def detect(src: np.ndarray, dst: np.ndarray, n: int, resolution: float, seed: int, leiden: bool) -> np.ndarray:
@@ -111,7 +112,7 @@ def detect(src: np.ndarray, dst: np.ndarray, n: int, resolution: float, seed: in
         a, b, w = a[order], b[order], w[order]
         at = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
         strength = np.bincount(a, w, minlength=n)
-        part = _moves(n, at, b, w, strength, total, resolution, rng, part.copy())
+        part = _moves(n, at, b, w, strength, total, resolution, rng, part)
         _, part = np.unique(part, return_inverse=True)
         if part.max(initial=-1) + 1 == n:
             return part[member]

@@ -433,3 +433,10 @@ def test_walks_from_many_sources(spark):
     ids = spark.range(1600)
     got = {r.d: r.pairs for r in gr.distances(arcs, ids).collect()}
     assert got == {r.d: r.pairs for r in gr.joined_distances(arcs, ids).collect()} and len(got) > 5
+
+
+def test_moves_leave_the_partition_they_start_from():
+    part = np.arange(4)
+    at, to = np.array([0, 1, 2, 3, 4]), np.array([1, 0, 3, 2])
+    got = co._moves(4, at, to, np.ones(4), np.ones(4), 4.0, 1.0, np.random.default_rng(0), part)
+    assert part.tolist() == [0, 1, 2, 3] and got[0] == got[1] != got[2] == got[3]
